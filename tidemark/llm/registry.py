@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import wraps
 
 from ..shipping import ship
-from . import simhash, urlfilter
+from . import bpe, classifier, packing, simhash, urlfilter, warc
 
 
 def _shipped(query):
@@ -19,7 +19,14 @@ def _shipped(query):
 
 QUERIES = {
     q.__name__: _shipped(q)
-    for q in (urlfilter.op4_urls, simhash.op9_simhash)
+    for q in (
+        packing.op1_packing,
+        classifier.op2_classifier,
+        warc.op3_warc,
+        urlfilter.op4_urls,
+        bpe.op8_bpe,
+        simhash.op9_simhash,
+    )
 }
 
-ORACLES = {"op4_urls": urlfilter.OP4_SQL}
+ORACLES = {"op3_warc": warc.OP3_SQL, "op4_urls": urlfilter.OP4_SQL}
