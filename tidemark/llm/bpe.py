@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_slices
 
@@ -252,7 +253,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], names=[*names, "_ids"])
 
-    schema = df.toDF(*names).schema.add("_ids", "array<int>")
+    schema = df.toDF(*names).schema.add("_ids", T.ArrayType(T.IntegerType()))
     return plain.mapInArrow(run, schema).toDF(*df.columns, out)
 
 
