@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Words, bounded_slices, component_labels, connected_components, cut, texts_of, xxh64_ranges
@@ -243,6 +244,18 @@ def near_edges(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "a long, b long")
 
 
+def _labelled(df: DataFrame, id_col: str, text: str, k: int, distance: int) -> DataFrame:
+    """(_id, _k2, fingerprint, component_id), a row for each row; _k2 tells texts of one id apart."""
+    own = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_k2"), F.col(text).alias("_text"))
+    prints = cut(fingerprints(own, "_text", k).drop("_text"))
+    classes = cut(prints.groupBy("fingerprint").agg(F.min("_id").alias("first")))
+    comps = connected_components(near_edges(classes.select("fingerprint"), distance)).withColumnRenamed("node", "fingerprint")
+    joined = classes.join(comps, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
+    labels = cut(joined.join(least, "component").select("fingerprint", "component_id", "component"))
+    return prints.join(labels, "fingerprint")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3, distance: int = 3) -> DataFrame:
     """(id_col, fingerprint long, component_id): the smallest id among the texts reachable by links.
 
@@ -250,13 +263,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
     null id keeps its row and never names a component unless all ids of the component are
     null. Repeated rows stay repeated. An empty table gives an empty result.
     """
-    prints = cut(fingerprints(df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", k).drop("_text"))
-    classes = cut(prints.groupBy("fingerprint").agg(F.min("_id").alias("first")))
-    comps = connected_components(near_edges(classes, distance)).withColumnRenamed("node", "fingerprint")
-    joined = classes.join(comps, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    labels = cut(joined.join(least, "component").select("fingerprint", "component_id"))
-    return prints.join(labels, "fingerprint").select(F.col("_id").alias(id_col), "fingerprint", "component_id")
+    return _labelled(df, id_col, text, k, distance).select(F.col("_id").alias(id_col), "fingerprint", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, distance: int = 3) -> DataFrame:
+    """The rows of ``df`` without near copies: of each component the row with the least id stays.
+
+    Null ids come last; ties (rows that share the id) go by a hash of the text, and of equal
+    rows any one stays.
+    """
+    found = _labelled(df, id_col, text, k, distance)
+    rank = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_k2").alias("k"))
+    first = found.groupBy("component").agg(F.min(rank).alias("m"))
+    stay = cut(first.select(F.col("m.i").alias("_id"), F.col("m.k").alias("_k2")).distinct())
+    names = [f"c{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*names)
+    i, t = names[df.columns.index(id_col)], names[df.columns.index(text)]
+    rows = plain.withColumn("_h", F.xxhash64(t)).join(stay, F.col(i).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k2")))
+    nth = F.row_number().over(W.partitionBy(i, "_h").orderBy(i))
+    return rows.withColumn("_nth", nth).where("_nth = 1").select(*names).toDF(*df.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
