@@ -1,4 +1,6 @@
 """Registry of the engine's queries: name -> (spark, sf_dir) -> DataFrame, and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import reports
+
+QUERIES: dict = dict(reports.QUERIES)
+ORACLES: dict[str, str] = dict(reports.ORACLES)
