@@ -1,6 +1,6 @@
 """Registry of the engine's queries: name -> (spark, sf_dir) -> DataFrame, and their oracle SQL."""
 
-from .plans import reports
+from .plans import reports, studies
 
-QUERIES: dict = dict(reports.QUERIES)
+QUERIES: dict = {**reports.QUERIES, **studies.QUERIES}
 ORACLES: dict[str, str] = dict(reports.ORACLES)
