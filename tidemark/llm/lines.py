@@ -5,18 +5,21 @@ an earlier line (by document id, then place) is at least 0.8 similar (Jaccard),
 that line is itself removed. The join:
 
 * Lines with equal sets are one class, known by its earliest line; all its other lines go.
-* Tokens are ordered by rarity: 65,536 hash buckets are counted over all lines, and a token's
-  key is its bucket's rank, then the rest of its hash, so one sort of longs orders a line. Any
-  total order is exact; the fixed table only decides how short the candidate lists are.
+* Tokens are ordered by rarity: words are counted over the whole corpus in 32,768 hash buckets (so
+  in constant space), and a token's key is its bucket's class of frequency, then its hash, so one
+  sort of longs orders a line. Any total
+  order is exact; this one only decides how short the candidate lists are.
 * Two similar sets share a token among the first n - ceil(0.8 n) + 1 of each (prefix filter).
-  These go out by token; tokens of one class only are dropped. Pairs must pass the length filter
-  and the positional filter (the overlap still possible after the shared token's places).
-* In a crowd of variants all pairs would be quadratic, so each class first meets the earliest
-  class of each of its tokens. Whatever that removes needs no other partner; only the others
-  meet all earlier classes of their tokens.
+  These go out by token. Inside the join a pair must pass the length filter, the prefix filter
+  for just these two lengths, the positional filter (the overlap possible around the shared
+  token's places) and a bitmap filter (128 bits of each set), all exact, so hardly any pair but
+  similar ones comes out.
+* In a crowd of variants all pairs would be quadratic, so at tokens of over ``CROWD`` classes
+  each class first meets only the token's first class. Whatever that removes needs no other
+  partner; only the others meet all earlier classes of their tokens.
 * Candidates are verified on the whole sets in integers: 9 * overlap >= 4 * (n + m).
 
-Words are compared by 63 bits of XXH64, sets by 64 bits of the hash of their words.
+Words are compared by 58 bits of XXH64, sets by 64 bits of the hash of their words.
 """
 
 from __future__ import annotations
@@ -30,33 +33,33 @@ from pyspark.sql import functions as F
 from .common import cut, release, written
 
 MIN_TOKENS = 5
-_BUCKETS = 1 << 16
-_SPACES = "' \\t\\u000B\\u000C\\r'"
-_WORDS = f"array_distinct(split(trim(BOTH {_SPACES} FROM lower(s)), '[\\\\x20\\\\x09-\\\\x0D]+'))"
+CROWD = 256
+_BROADCAST_NUMBERS = 400_000
+_BUCKETS = 1 << 15
+_WORDS = "array_remove(array_distinct(split(translate(lower(s), '\\t\\u000B\\u000C\\r', '    '), ' ')), '')"
+_TOKEN = "w -> shiftrightunsigned(xxhash64(w), 6)"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(k1, k2, line, _h): hashed words of every line with MIN_TOKENS words or more."""
     split = docs.select("k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
     sets = split.select("k1", "k2", "line", F.expr(_WORDS).alias("_w")).where(F.size("_w") >= MIN_TOKENS)
-    return sets.select("k1", "k2", "line", F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
+    return sets.select("k1", "k2", "line", F.expr(f"transform(_w, {_TOKEN})").alias("_h"))
 
 
-def _rarity(lines: DataFrame) -> str:
-    """SQL of a constant array: the rank of each of the 65,536 buckets by its count."""
-    counted = lines.select(F.explode("_h").alias("h")).groupBy(F.shiftrightunsigned("h", 48).alias("b")).count()
-    count = [0] * _BUCKETS
-    for b, n in counted.collect():  # 65,536 rows at most
-        count[b] = n
-    rank = [0] * _BUCKETS
-    for r, b in enumerate(sorted(range(_BUCKETS), key=lambda b: (count[b], b))):
-        rank[b] = r
-    return "cast(split('" + ",".join(map(str, rank)) + "', ',') as array<bigint>)"
+def _rarity(docs: DataFrame) -> str:
+    """SQL of a constant array: the class (binary logarithm) of the count of each bucket of words."""
+    words = docs.select(F.explode(F.split(F.expr("translate(lower(text), '\\t\\n\\u000B\\u000C\\r', '     ')"), " ")).alias("w"))
+    counted = words.groupBy(F.expr(f"cast(shiftrightunsigned(xxhash64(w), 6) & {_BUCKETS - 1}L as int)").alias("b")).count()
+    level = [0] * _BUCKETS
+    for b, n in counted.collect():  # _BUCKETS rows at most
+        level[b] = min(31, n.bit_length())
+    return "cast(split('" + ",".join(map(str, level)) + "', ',') as array<bigint>)"
 
 
-def _with_keys(lines: DataFrame, ranks: str) -> DataFrame:
+def _with_keys(lines: DataFrame, levels: str) -> DataFrame:
     """Replaces _h by ``keys``, the line's tokens from the rarest to the commonest."""
-    key = f"(h -> shiftleft(get({ranks}, cast(shiftrightunsigned(h, 48) as int)), 47) | (h & {(1 << 47) - 1}L))"
+    key = f"h -> shiftleft(get({levels}, cast(h & {_BUCKETS - 1}L as int)), 58) | h"
     keyed = lines.withColumn("keys", F.sort_array(F.expr(f"transform(_h, {key})"))).drop("_h")
     return keyed.withColumn("c", F.xxhash64("keys"))
 
@@ -67,10 +70,30 @@ def _forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _bound(a_n, a_pos, b_n, b_pos):
-    """Length filter, and the overlap that is still possible around the shared token's places."""
-    possible = F.least(a_pos, b_pos) + F.least(a_n - a_pos, b_n - b_pos)
-    return (5 * F.least(a_n, b_n) >= 4 * F.greatest(a_n, b_n)) & (9 * possible >= 4 * (a_n + b_n))
+def _sent(df: DataFrame, numbers: int) -> DataFrame:
+    """``df`` marked for broadcast if it holds at most ``_BROADCAST_NUMBERS`` lines or ids (of 48 bytes at most each)."""
+    return F.broadcast(df) if numbers <= _BROADCAST_NUMBERS else df
+
+
+def _possible(a: str, b: str):
+    """Whether lines a and b, which share the token at their places, may still be similar.
+
+    With o = 4/9 (n + m) the least overlap: lengths (o cannot exceed either), the prefix of
+    either for partners of just this length, the overlap possible around the token's places, and
+    the bitmaps (a bit of one that the other lacks is a token that the other lacks).
+    """
+    col = lambda side, name: F.col(f"{side}.{name}")
+    n, m, i, j = F.abs(col(a, "n")), F.abs(col(b, "n")), col(a, "pos"), col(b, "pos")
+    least = 4 * (n + m)
+    lacks = lambda x, y: sum(F.bit_count(col(x, w).bitwiseAND(F.bitwise_not(col(y, w)))) for w in ("b1", "b2"))
+    return (
+        (9 * F.least(n, m) >= least)
+        & (9 * (n - i) >= least)
+        & (9 * (m - j) >= least)
+        & (9 * (F.least(i, j) + F.least(n - i, m - j)) >= least)
+        & (9 * (n - lacks(a, b)) >= least)
+        & (9 * (m - lacks(b, a)) >= least)
+    )
 
 
 def similar_lines(docs: DataFrame, repeated: bool = True) -> DataFrame:
@@ -79,52 +102,65 @@ def similar_lines(docs: DataFrame, repeated: bool = True) -> DataFrame:
     ``repeated``: whether a key may occur twice (with one text).
     """
     spark = docs.sparkSession
-    ranks = _rarity(_lines(docs))
+    levels = _rarity(docs)
     prefix = F.slice("keys", F.lit(1), F.size("keys") - F.ceil(F.size("keys") * 4 / F.lit(5)).cast("int") + 1)
-    table = written(
-        _with_keys(_lines(docs), ranks).select("k1", "k2", "line", "c", F.size("keys").alias("n"), prefix.alias("prefix")), "lines"
-    )
+    bits = "aggregate(keys, 0L, (a, h) -> IF(h & 64 = {0}, a | shiftleft(1L, cast(h & 63 as int)), a))"
+    keyed = _with_keys(_lines(docs), levels)
+    sized = keyed.select("k1", "k2", "line", "c", F.size("keys").alias("n"), prefix.alias("prefix"), F.expr(bits.format(0)).alias("b1"), F.expr(bits.format(64)).alias("b2"))
+    table = written(sized, "lines")
     place = F.struct("k1", "k2", "line")
-    classes = written(
-        table.groupBy("c").agg(
-            F.min(place).alias("first"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
-        ),
-        "classes",
-    )
-    _forget(spark)
-    posts = classes.select("c", "first", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = written(
-        posts.withColumn("others", F.count("*").over(W.partitionBy("token"))).where("others > 1").drop("others"), "postings"
-    )
-    _forget(spark)
-    # the whole sets of the classes that share a token with another
-    wanted = shared.select("c", "first").distinct().groupBy("first.k1", "first.k2").agg(F.collect_list(F.struct("c", "first.line")).alias("at"))
-    once = docs.dropDuplicates(["k1", "k2"]) if repeated else docs
-    text_of = once.join(wanted, ["k1", "k2"]).withColumn("_l", F.split("text", "\n", -1)).select("k1", "k2", "_l", F.explode("at").alias("at"))
-    rows = text_of.select("k1", "k2", F.col("at.line").alias("line"), F.expr("get(_l, at.line)").alias("s"), F.col("at.c").alias("c0"))
-    hashed = rows.select("k1", "k2", "line", "c0", F.expr(f"transform({_WORDS}, w -> xxhash64(w))").alias("_h"))
-    sets = written(hashed.select(F.col("c0").alias("c"), F.sort_array("_h").alias("keys")), "sets")
+    same = [F.first(x).alias(x) for x in ("n", "prefix", "b1", "b2")]
+    classes = written(table.groupBy("c").agg(F.min(place).alias("first"), F.count("*").alias("members"), *same), "classes")
     _forget(spark)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The later classes ``c`` of pairs (c, other) that are similar."""
-        a, b = sets.toDF("c", "kc"), sets.toDF("other", "ko")
-        both = pairs.distinct().join(a, "c").join(b, "other")
+    def posts(rows: DataFrame) -> DataFrame:
+        return rows.select("c", F.col("first.k1").alias("k1"), "n", "b1", "b2", F.posexplode("prefix").alias("pos", "token"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The classes ``c`` of pairs (c, other) that are similar to an ``other`` that is earlier."""
+        pairs = cut(pairs.distinct())
+        named = classes.select("c", "first")
+        used = pairs.select("c").union(pairs.select("other")).distinct().join(named, "c")
+        used = cut(used)
+        per_doc = _sent(used.groupBy("first.k1", "first.k2").agg(F.collect_list(F.struct("c", "first")).alias("at")), used.count())
+        once = docs.dropDuplicates(["k1", "k2"]) if repeated else docs
+        lines = once.join(per_doc, ["k1", "k2"]).select(F.split("text", "\n", -1).alias("_l"), F.explode("at").alias("at"))
+        rows = lines.select(F.col("at.c").alias("c"), F.col("at.first").alias("first"), F.expr("get(_l, at.first.line)").alias("s"))
+        sets = written(rows.select("c", "first", F.expr(f"transform({_WORDS}, {_TOKEN})").alias("keys")), "sets")
+        _forget(spark)
+        a, b = sets.toDF("c", "fc", "kc"), sets.toDF("other", "fo", "ko")
+        both = pairs.join(a, "c").join(b, "other").where("fo < fc")
         overlap = F.size(F.array_intersect("kc", "ko"))
-        return both.where(9 * overlap >= 4 * (F.size("kc") + F.size("ko"))).select("c").distinct()
-
-    lead = shared.groupBy("token").agg(F.min(F.struct("first", "c", "n", "pos")).alias("o"))
-    near = _bound(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos"))
-    gone = cut(verified(shared.join(lead, "token").where((F.col("o.first") < F.col("first")) & near).select("c", F.col("o.c").alias("other"))))
-    late = shared.join(gone, "c", "left_anti")
-    early = shared.select("token", F.struct("first", "c", "n", "pos").alias("o"))
-    left = late.join(early, "token").where((F.col("o.first") < F.col("first")) & near).select("c", F.col("o.c").alias("other"))
-    more = cut(verified(left))
-    dropped = gone.union(more).withColumn("gone", F.lit(True))
+        found = cut(both.where(9 * overlap >= 4 * (F.size("kc") + F.size("ko"))).select("c").distinct())
+        release(sets)
+        _forget(spark)
+        return found
+
+    every = posts(classes)
+    crowded = cut(every.groupBy("token").count().where(F.col("count") > CROWD).select("token"))
+    _forget(spark)
+    many = crowded.count()
+    gone = spark.createDataFrame([], "c long")
+    if many:
+        heavy = written(every.join(_sent(crowded, many), "token"), "crowd")
+        lead = heavy.groupBy("token").agg(F.min(F.struct("k1", "c", "n", "pos", "b1", "b2")).alias("o")).select("token", "o.*")
+        pairs = heavy.alias("a").join(lead.alias("b"), F.col("a.token") == F.col("b.token")).where((F.col("a.c") != F.col("b.c")) & _possible("a", "b"))
+        gone = similar(pairs.select("a.c", F.col("b.c").alias("other")))
+        release(heavy)
+    # a negative size marks a class that is gone already; conditions name both sides, so that one exchange serves both
+    flagged = classes
+    if many:
+        flagged = classes.join(_sent(gone.withColumn("gone", F.lit(True)), gone.count()), "c", "left").withColumn("n", F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n")))
+    dealt = posts(flagged).repartition("token")
+    later = (F.col("a.n") * F.abs("b.n") > 0) & (F.col("a.k1") >= F.col("b.k1")) & (F.col("a.c") != F.col("b.c"))
+    pairs = dealt.alias("a").join(dealt.alias("b"), (F.col("a.token") == F.col("b.token")) & later & _possible("a", "b"))
+    more = similar(pairs.select("a.c", F.col("b.c").alias("other")))
+    _forget(spark)
+    dropped = gone.union(more).distinct().withColumn("gone", F.lit(True))
     bad = classes.select("c", "first", "members").join(dropped, "c", "left").where("gone or members > 1").select("c", "first", "gone")
     hit = table.select("c", "k1", "k2", "line").join(bad, "c").where(F.col("gone") | (place != F.col("first")))
     found = cut(hit.groupBy("k1", "k2").agg(F.collect_set("line").alias("lines")))
-    release(table, classes, shared, sets)
+    release(table, classes)
     _forget(spark)
     return found
 
@@ -146,7 +182,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     names = [c for c in df.columns if c != "removed_lines"]
     plain = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), k1.alias("k1"), k2.alias("k2"))
     t = f"c{names.index(text)}"
-    joined = plain.join(found, ["k1", "k2"], "left")
+    size = found.agg(F.sum(F.size("lines"))).first()[0] or 0
+    joined = plain.join(_sent(found, size), ["k1", "k2"], "left")
     if repeated:
         joined = joined.withColumn("copy", F.row_number().over(W.partitionBy("k1", "k2").orderBy("k1")) > 1)
         own = F.expr(f"transform(filter(transform(split({t}, '\\n', -1), (s, i) -> struct(i, s)), x -> size({_WORDS.replace('lower(s)', 'lower(x.s)')}) >= {MIN_TOKENS}), x -> x.i)")
