@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_1_sf(x: pd.Series) -> pd.Series:
     """Upper tail of chi-square with one degree of freedom; null stays null."""
     return x.map(lambda v: math.erfc(math.sqrt(max(v, 0.0) / 2)), na_action="ignore")
