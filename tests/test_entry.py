@@ -22,3 +22,16 @@ def test_entry_has_rows(spark):
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_matches_its_oracle(compare, name):
     compare(registry.QUERIES[name], registry.ORACLES[name])
+
+
+def test_entry_imports_without_a_session_or_the_optional_folder(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__spark_entry__.__file__).parent
+    shutil.copytree(root / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); assert 'pinball_by_model_level' in q and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""}, check=True)

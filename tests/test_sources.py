@@ -58,7 +58,7 @@ def test_bootstrap_is_seeded(spark):
 
 @pytest.mark.parametrize("name", ["walk_forward_scores", "mc_case_summary", "stream_tumbling_bars", "stream_ewma_state"])
 def test_studies_have_rows(spark, name):
-    assert studies.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert studies.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
 
 
 def test_stream_equals_batch_where_windows_closed(spark):

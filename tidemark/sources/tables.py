@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 RAW = (
     T.StructType()
-    .add("SYMBOL", "string").add("TRADING_DATE", "int").add("TRADING_TIME", "string")
+    .add("SYMBOL", "string").add("TRADING_DATE", "integer").add("TRADING_TIME", "string")
     .add("OPEN_PX", "double").add("HIGH_PX", "double").add("LOW_PX", "double").add("CLOSE_PX", "double")
     .add("VOL", "long").add("BUY_VOL", "long").add("SELL_VOL", "long")
 )
