@@ -138,7 +138,7 @@ SHARED: dict[str, str] = {
 
 _PIT = """SELECT a.symbol, a.seq, a.day_idx, (sum(CASE WHEN b.z <= a.z THEN 1 ELSE 0 END) + 5e-1) / (count(*) + 1) AS pit FROM {sigma} a JOIN {sigma} b
     ON a.symbol = b.symbol AND b.day_idx BETWEEN a.day_idx - 10 AND a.day_idx - 1 AND a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY a.symbol, a.seq, a.day_idx HAVING count(*) >= 20"""
-_BOOT = f"""SELECT rep, CAST(count(*) AS BIGINT) AS days, round(sum(diff) / sum(n), 8) AS stat FROM (
+_BOOT = f"""SELECT rep, CAST(count(*) AS BIGINT) AS days, round(sum(diff) / nullif(sum(n), 0), 8) AS stat FROM (
     SELECT rep, blk * {S.block_days} + o AS place, ((rep * 7919 + blk * 104729 + rep * blk * 31) % greatest(m, 1) + o) % greatest(m, 1) AS idx, m FROM reps CROSS JOIN blks CROSS JOIN offs CROSS JOIN cnt) p
     JOIN dd ON dd.idx = p.idx WHERE place < m GROUP BY rep"""
 _DAYDIFF = """SELECT row_number() OVER (ORDER BY day_idx) - 1 AS idx, sum(CASE WHEN model = 'empirical' THEN pinball_sum ELSE -pinball_sum END) AS diff, sum(CASE WHEN model = 'empirical' THEN n ELSE 0 END) AS n
@@ -167,7 +167,7 @@ _REPS = f"reps AS (SERIES(rep,{S.replicates})), blks AS (SERIES(blk,10)), offs A
 PAIRS: dict[str, tuple[str, str]] = {
     "block_bootstrap": _both(f"WITH {_REPS}, st AS ({_BOOT}) SELECT CAST(rep AS BIGINT) AS rep, days, stat FROM st"),
     "bootstrap_summary": _both(
-        f"""WITH {_REPS}, st AS ({_BOOT}), ob AS (SELECT sum(diff) / sum(n) AS obs FROM dd)
+        f"""WITH {_REPS}, st AS ({_BOOT}), ob AS (SELECT sum(diff) / nullif(sum(n), 0) AS obs FROM dd)
         SELECT round(max(obs), 8) AS observed, round(percentile_cont(25e-3) WITHIN GROUP (ORDER BY stat), 8) AS low, round(percentile_cont(975e-3) WITHIN GROUP (ORDER BY stat), 8) AS high,
         round((1 + sum(CASE WHEN abs(stat - obs) >= abs(obs) THEN 1 ELSE 0 END)) / (count(*) + 1e0), 8) AS p_two_sided FROM st CROSS JOIN ob"""
     ),
