@@ -32,9 +32,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles) stays."""
+    """One document of each group of near copies (3 bits at most, or a Jaccard of five-word shingles of 0.8 or more) stays."""
     ship(spark)
-    return simhash.keep_one(docs, k=5, distance=3)
+    return simhash.keep_one(docs, k=5, distance=3, similar=True)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

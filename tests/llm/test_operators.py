@@ -425,6 +425,32 @@ def test_one_of_repeated_and_null_ids_stays(spark):
     assert simhash.near_duplicates(df.limit(0)).isEmpty()
 
 
+def test_similar_shingles_link_at_any_distance(spark):
+    rng = random.Random(21)
+    base = [[f"v{rng.randrange(900)}" for _ in range(rng.randrange(3, 140))] for _ in range(12)]
+    texts = list(AWKWARD)
+    for _ in range(90):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(50)}"
+        texts.append(" ".join(w))
+    prints, sets = [brute_simhash(t, 5) for t in texts], []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    plain, label = brute_components(prints), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count() <= 3
+            if near or sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = label[i], label[j]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    got = simhash.keep_one(docs_of(spark, texts), k=5, similar=True)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(label))
+    assert len(set(label)) < len(set(plain))
+    assert simhash.keep_one(docs_of(spark, texts).limit(0), similar=True).isEmpty()
+
+
 # 10 quality rules
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_slices, component_labels, connected_components, cut, texts_of, xxh64_ranges
+from .common import Words, bounded_slices, component_labels, connected_components, cut, release, texts_of, written, xxh64_ranges
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -244,12 +244,121 @@ def near_edges(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "a long, b long")
 
 
-def _labelled(df: DataFrame, id_col: str, text: str, k: int, distance: int) -> DataFrame:
+def _shingle_sets(texts: list[bytes], k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, hash) of every distinct shingle, ascending, and the number and the key of each text's set."""
+    words = Words(texts)
+    doc, start, end = words.shingles(k)
+    hashes = xxh64_ranges(words.buf, start, end, seed)
+    order = np.lexsort((hashes, doc))
+    doc, hashes = doc[order], hashes[order]
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+    doc, hashes = doc[fresh], hashes[fresh]
+    n = np.bincount(doc, minlength=len(texts))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes, dtype=np.uint64)])
+    ends = np.cumsum(n)
+    return doc, hashes, n, sums[ends] - sums[ends - n]
+
+
+def similar_edges(df: DataFrame, text: str = "text", k: int = 5, seed: int = 42) -> DataFrame:
+    """Links (a, b) of fingerprints of texts whose sets of k-word shingles have a Jaccard of 0.8 or more.
+
+    Exact but for 64-bit hashes; thinned, but with the same components. Sets are ordered by hash,
+    and two similar ones share a shingle among the first n - ceil(0.8 n) + 1 of each. A bucket of
+    such a shingle first meets its least set only; then only sets that are not yet in one
+    component meet each other. Wordless texts take no part.
+    """
+    own = df.select(F.col(text).alias("_t"))
+
+    def parts(batches):
+        for batch in batches:
+            for part in bounded_slices(batch, "_t"):
+                texts = texts_of(part.column("_t"))
+                yield texts, *_shingle_sets(texts, k, seed)
+
+    def name(batches):
+        for texts, _, _, n, c in parts(batches):
+            f, some = _fingerprint(texts, k, seed), n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(c[some].view(np.int64)), pa.array(f[some].view(np.int64))], names=["c", "f"])
+
+    def post(batches):
+        for _, doc, h, n, c in parts(batches):
+            pos = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+            doc, h, pos = (x[pos < n[doc] - (4 * n[doc] + 4) // 5 + 1] for x in (doc, h, pos))
+            cols = [h.view(np.int64), c[doc].view(np.int64), n[doc].astype(np.int32), pos.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "c", "n", "pos"])
+
+    def whole(batches):
+        for _, _, h, n, c in parts(batches):
+            at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(h.view(np.int64)))], names=["c", "keys"])
+
+    def shared(batches):
+        """Rows come sorted by token, then set; of a token's rows those of two sets or more stay."""
+        held = None
+
+        def several(rows):
+            t, c = rows.column("token").to_numpy(), rows.column("c").to_numpy()
+            first = np.ones(len(t), bool)
+            first[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+            rows, t = rows.filter(pa.array(first)), t[first]
+            _, at, size = np.unique(t, return_inverse=True, return_counts=True)
+            return rows.append_column("size", pa.array(size[at].astype(np.int32))).filter(pa.array(size[at] > 1)).combine_chunks()
+
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new]).combine_chunks()
+            t = held.column("token").to_numpy()
+            done = int(np.searchsorted(t, t[-1])) if len(t) else 0
+            if done:
+                yield from several(held.slice(0, done)).to_batches()
+                held = held.slice(done)
+        if held is not None and held.num_rows:
+            yield from several(held).to_batches()
+
+    a, b = (lambda x: F.col(f"a.{x}")), (lambda x: F.col(f"b.{x}"))
+    least = 4 * (a("n") + b("n"))
+    possible = (9 * F.least(a("n"), b("n")) >= least) & (9 * (F.least(a("pos"), b("pos")) + F.least(a("n") - a("pos"), b("n") - b("pos"))) >= least)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.distinct())
+        used = cut(pairs.select("c").union(pairs.select("other")).distinct())
+        sent = F.broadcast(used) if used.count() <= 400_000 else used
+        sets = written(own.mapInArrow(whole, "c long, keys array<long>").join(sent, "c").dropDuplicates(["c"]), "shingles")
+        both = pairs.join(sets.toDF("c", "kc"), "c").join(sets.toDF("other", "ko"), "other")
+        overlap = F.size(F.array_intersect("kc", "ko"))
+        found = cut(both.where(9 * overlap >= 4 * (F.size("kc") + F.size("ko"))).select(F.col("c").alias("a"), F.col("other").alias("b")))
+        release(sets)
+        return found
+
+    named = cut(own.mapInArrow(name, "c long, f long").distinct())
+    schema = "token long, c long, n int, pos int"
+    posts = own.mapInArrow(post, schema).repartition("token").sortWithinPartitions("token", "c")
+    posts = written(posts.mapInArrow(shared, schema + ", size int"), "posts")
+    lead = posts.groupBy("token").agg(F.min(F.struct("c", "n", "pos")).alias("o")).select("token", "o.*")
+    star = posts.alias("a").join(lead.alias("b"), "token").where((a("c") != b("c")) & possible)
+    links = similar(star.select(b("c").alias("c"), a("c").alias("other")))
+    comps = connected_components(links)
+    # a bucket of two has met already
+    open_ = posts.where("size > 2").join(comps.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    rest = open_.alias("a").join(open_.alias("b"), "token").where((a("c") < b("c")) & (a("component") != b("component")) & possible)
+    links = links.union(similar(rest.select(a("c").alias("c"), b("c").alias("other"))))
+    release(posts)
+    one = named.groupBy("c").agg(F.min("f").alias("f"))
+    equal = named.join(one.withColumnRenamed("f", "a"), "c").select("a", F.col("f").alias("b"))
+    far = links.join(one.toDF("a", "fa"), "a").join(one.toDF("b", "fb"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    return cut(equal.union(far).where("a <> b").distinct())
+
+
+def _labelled(df: DataFrame, id_col: str, text: str, k: int, distance: int, similar: bool = False) -> DataFrame:
     """(_id, _k2, fingerprint, component_id), a row for each row; _k2 tells texts of one id apart."""
     own = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_k2"), F.col(text).alias("_text"))
     prints = cut(fingerprints(own, "_text", k).drop("_text"))
     classes = cut(prints.groupBy("fingerprint").agg(F.min("_id").alias("first")))
-    comps = connected_components(near_edges(classes.select("fingerprint"), distance)).withColumnRenamed("node", "fingerprint")
+    edges = near_edges(classes.select("fingerprint"), distance)
+    if similar:
+        edges = edges.union(similar_edges(df, text, k))
+    comps = connected_components(edges).withColumnRenamed("node", "fingerprint")
     joined = classes.join(comps, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     labels = cut(joined.join(least, "component").select("fingerprint", "component_id", "component"))
@@ -266,13 +375,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
     return _labelled(df, id_col, text, k, distance).select(F.col("_id").alias(id_col), "fingerprint", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, distance: int = 3) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, distance: int = 3, similar: bool = False) -> DataFrame:
     """The rows of ``df`` without near copies: of each component the row with the least id stays.
 
+    ``similar``: whether a Jaccard of 0.8 or more of the k-word shingles is a link too, at any distance.
     Null ids come last; ties (rows that share the id) go by a hash of the text, and of equal
     rows any one stays.
     """
-    found = _labelled(df, id_col, text, k, distance)
+    found = _labelled(df, id_col, text, k, distance, similar)
     rank = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_k2").alias("k"))
     first = found.groupBy("component").agg(F.min(rank).alias("m"))
     stay = cut(first.select(F.col("m.i").alias("_id"), F.col("m.k").alias("_k2")).distinct())
