@@ -69,3 +69,27 @@ def test_stream_equals_batch_where_windows_closed(spark):
     start = F.concat(F.col("d").cast("string"), F.lit(" "), F.lpad(F.col("slot").cast("string"), 2, "0"), F.lit(":00"))
     batch = {(r.symbol, r.start): (r.n, r.open, r.close) for r in core.fine(spark, sf).withColumn("start", start).collect()}
     assert live.items() <= batch.items() and len(batch) - len(live) < 10
+
+
+def test_streams_over_shuffled_files_equal_batch(spark, tmp_path):
+    import math
+
+    from tidemark.plans import core
+
+    sf = f"file://{tmp_path}"
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(5, "event_id").write.parquet(f"{sf}/events.parquet")
+    start = F.concat(F.col("d").cast("string"), F.lit(" "), F.lpad(F.col("slot").cast("string"), 2, "0"), F.lit(":00"))
+    live = [(r.symbol, r.start, r.n, r.open, r.high, r.low, r.close) for r in studies.stream_tumbling_bars(spark, sf).collect()]
+    batch = core.fine(spark, sf).withColumn("start", start).collect()
+    assert sorted(live) == sorted((r.symbol, r.start, r.n, r.open, r.high, r.low, r.close) for r in batch)
+    want, last, v = {}, {}, {}
+    for r in sorted(events.collect(), key=lambda r: (r.ts, r.event_id)):
+        s = r.event_type
+        if r.value > 0:
+            if s in last:
+                v[s] = 0.94 * v.get(s, 0.0) + (1 - 0.94) * math.log(r.value / last[s]) ** 2
+            last[s] = r.value
+        want[r.event_id] = v.get(s, 0.0)
+    got = {r.event_id: r.v for r in studies.stream_ewma_state(spark, sf).collect()}
+    assert got == pytest.approx(want, abs=1e-7)

@@ -78,7 +78,7 @@ def seeded_bootstrap(spark, sf_dir):
 
 def stream_tumbling_bars(spark, sf_dir):
     ticks = streams.read_ticks(spark, f"{sf_dir}/events.parquet")
-    bars = streams.drain(streams.tumbling_bars(ticks), f"bars_{uuid.uuid4().hex}")
+    bars = streams.drain(streams.tumbling_bars(ticks), f"bars_{uuid.uuid4().hex}", mode="complete")
     return bars.select("symbol", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "open", "high", "low", "close", F.round("volume", 4).alias("volume"))
 
 

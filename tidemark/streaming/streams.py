@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,11 +12,18 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Study
 
 
-def read_ticks(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A stream over a Parquet file of events, or a folder of them."""
+def read_ticks(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A stream over a Parquet file of events, or a folder of them.
+
+    All files that are there make one trigger unless ``files_per_trigger`` is given, which is right
+    only for files in order of time: ticks of later files may be late or out of order otherwise.
+    """
     schema = spark.read.parquet(path).schema
     one_or_many = f"{path[:-1]}[{path[-1]}]"  # as a pattern, a path may also name a single file
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(one_or_many)
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(one_or_many)
 
 
 def tumbling_bars(events: DataFrame, study: Study = DEFAULT, late: str = "10 minutes") -> DataFrame:
@@ -54,10 +62,23 @@ def ewma_state(events: DataFrame, decay: float = 0.94) -> DataFrame:
     return keyed.groupBy("symbol").applyInPandasWithState(step, "symbol string, event_id long, v double", "last double, v double", "append", "NoTimeout")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there and returns what it appended."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True)
+def drain(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there and returns what it put out, from Parquet.
+
+    Mode ``complete`` closes the stream: windows that the watermark has not passed come out too.
+    """
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    folders: list[str] = []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        folder = f"{shared.rstrip('/')}/tidemark-stream-{name}/{'all' if mode == 'complete' else batch}"
+        rows.write.mode("overwrite").parquet(folder)
+        if folder not in folders:
+            folders.append(folder)
+
+    writer = stream.writeStream.foreachBatch(keep).outputMode(mode).trigger(availableNow=True)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
     writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(*folders) if folders else spark.createDataFrame([], stream.schema)
