@@ -93,3 +93,13 @@ def test_streams_over_shuffled_files_equal_batch(spark, tmp_path):
         want[r.event_id] = v.get(s, 0.0)
     got = {r.event_id: r.v for r in studies.stream_ewma_state(spark, sf).collect()}
     assert got == pytest.approx(want, abs=1e-7)
+
+
+def test_bootstrap_draws_as_many_days_as_there_are(spark):
+    from tidemark.plans import reports
+
+    scores = spark.range(15, 138).selectExpr("cast(id as int) day_idx", "explode(array('empirical', 'normal')) model", "sin(id) + length(model) pinball_sum", "3L n")
+    rows = spark.sql(reports.PAIRS["block_bootstrap"][0], day_scores=scores).collect()
+    assert len(rows) == 200 and {r.days for r in rows} == {123}
+    assert spark.sql(reports.PAIRS["bootstrap_summary"][0], day_scores=scores).count() == 1
+    assert spark.sql(reports.PAIRS["block_bootstrap"][0], day_scores=scores.limit(0)).isEmpty()

@@ -153,6 +153,14 @@ _LOSS = """SELECT q.symbol, CAST(q.level AS BIGINT) AS level, round(avg(-p * v +
     FROM (SELECT symbol, level, (1 + level / 1000e0) / 2 AS p, least(greatest(z_high, -8e0), 7999e-3) AS v FROM {zq}) q JOIN e a ON a.i = CAST(floor((v + 8) / 16e0 * 2000) AS BIGINT) JOIN e b ON b.i = a.i + 1 GROUP BY q.symbol, q.level"""
 
 
+def _by_days(texts: tuple[str, str]) -> tuple[str, str]:
+    """Spark's text with as many blocks as the days fill; DuckDB's keeps its ten, which are enough up to 50 days."""
+    spark, duck = texts
+    fixed, cnt = "blks AS (SELECT id AS blk FROM range(10)), ", "cnt AS (SELECT count(*) AS m FROM dd)"
+    whole = f", blks AS (SELECT explode(sequence(0L, greatest(ceil(m / {S.block_days}), 1L) - 1)) AS blk FROM cnt)"
+    return spark.replace(fixed, "").replace(cnt, cnt + whole), duck
+
+
 def _both(template: str) -> tuple[str, str]:
     """A text for Spark and one for DuckDB: SERIES(a,n) is a column of 0..n-1 named a."""
     import re
@@ -165,12 +173,12 @@ def _both(template: str) -> tuple[str, str]:
 _REPS = f"reps AS (SERIES(rep,{S.replicates})), blks AS (SERIES(blk,10)), offs AS (SERIES(o,{S.block_days})), dd AS ({_DAYDIFF}), cnt AS (SELECT count(*) AS m FROM dd)"
 #: name -> (Spark SQL, DuckDB SQL); the texts start with their own common table expressions
 PAIRS: dict[str, tuple[str, str]] = {
-    "block_bootstrap": _both(f"WITH {_REPS}, st AS ({_BOOT}) SELECT CAST(rep AS BIGINT) AS rep, days, stat FROM st"),
-    "bootstrap_summary": _both(
+    "block_bootstrap": _by_days(_both(f"WITH {_REPS}, st AS ({_BOOT}) SELECT CAST(rep AS BIGINT) AS rep, days, stat FROM st")),
+    "bootstrap_summary": _by_days(_both(
         f"""WITH {_REPS}, st AS ({_BOOT}), ob AS (SELECT sum(diff) / nullif(sum(n), 0) AS obs FROM dd)
         SELECT round(max(obs), 8) AS observed, round(percentile_cont(25e-3) WITHIN GROUP (ORDER BY stat), 8) AS low, round(percentile_cont(975e-3) WITHIN GROUP (ORDER BY stat), 8) AS high,
         round((1 + sum(CASE WHEN abs(stat - obs) >= abs(obs) THEN 1 ELSE 0 END)) / (count(*) + 1e0), 8) AS p_two_sided FROM st CROSS JOIN ob"""
-    ),
+    )),
     "trapezoid_cdf": _both(f"WITH g AS (SERIES(i,2001)), d AS ({_GRID}), c AS ({_CDF}) SELECT CAST(i AS BIGINT) AS i, round(x, 8) AS x, round(cdf, 8) AS cdf FROM c"),
     "interp_grid": _both(f"WITH g AS (SERIES(i,2001)), d AS ({_GRID}), c AS ({_CDF}) {_INTERP}"),
     "expected_loss_grid": _both(f"WITH g AS (SERIES(i,2001)), d AS ({_GRID}), c AS ({_CDF}), e AS ({_INT}) {_LOSS}"),

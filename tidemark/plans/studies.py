@@ -72,7 +72,7 @@ def independence_p(spark, sf_dir):
 def seeded_bootstrap(spark, sf_dir):
     text = reports._DAYDIFF
     days = spark.sql(text, day_scores=core.day_scores(spark, sf_dir))
-    reps = inference.block_bootstrap(days, 200)
+    reps = inference.block_bootstrap(days)
     return reps.select("rep", F.round("stat", 8).alias("stat"))
 
 
