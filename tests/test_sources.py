@@ -103,3 +103,13 @@ def test_bootstrap_draws_as_many_days_as_there_are(spark):
     assert len(rows) == 200 and {r.days for r in rows} == {123}
     assert spark.sql(reports.PAIRS["bootstrap_summary"][0], day_scores=scores).count() == 1
     assert spark.sql(reports.PAIRS["block_bootstrap"][0], day_scores=scores.limit(0)).isEmpty()
+
+
+def test_every_family_is_fitted_at_every_refit(spark):
+    from tidemark.functions.families import MODELS
+
+    sf = "/root/testdata/sf0.001"
+    pools = studies._pools(spark, sf)[1].count()
+    fits = studies.fit_nine_families(spark, sf).collect()
+    assert len(fits) == pools * len(MODELS) and len({(r.symbol, r.refit) for r in fits}) == pools
+    assert {(r.model, r.attempts) for r in studies.fit_failure_counts(spark, sf).collect()} == {(m, pools) for m in MODELS}

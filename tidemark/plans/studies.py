@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.families import MODELS, Fitted
@@ -12,9 +14,6 @@ from ..shipping import ship
 from ..streaming import streams
 from . import core, reports
 
-#: Families that are quick enough to refit throughout; the rest are fitted on the last window.
-QUICK = ("normal", "student_t", "normal_mixture_2")
-
 
 def _pools(spark, sf_dir):
     ship(spark)
@@ -24,8 +23,7 @@ def _pools(spark, sf_dir):
 
 def fit_nine_families(spark, sf_dir):
     _, pools = _pools(spark, sf_dir)
-    last = pools.groupBy("symbol").agg(F.max_by(F.struct("refit", "pool"), "refit").alias("p")).select("symbol", "p.*")
-    return fitting.fit_history(last, MODELS).select("symbol", "model", "status", "n_train", F.round("loglik", 4).alias("loglik"), F.round("center", 6).alias("center"), F.round("spread", 6).alias("spread"))
+    return fitting.fit_history(pools, MODELS).select("symbol", "refit", "model", "status", "n_train", F.round("loglik", 4).alias("loglik"), F.round("center", 6).alias("center"), F.round("spread", 6).alias("spread"))
 
 
 def mixture_em_fit(spark, sf_dir):
@@ -36,19 +34,19 @@ def mixture_em_fit(spark, sf_dir):
 
 def walk_forward_scores(spark, sf_dir):
     rows, pools = _pools(spark, sf_dir)
-    score = fitting.walk_forward(rows, fitting.fit_history(pools, QUICK), 0.95)
+    score = fitting.walk_forward(rows, fitting.fit_history(pools, MODELS), 0.95)
     return score.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg("pinball"), 8).alias("mean_pinball"), F.round(1 - F.avg(F.col("lower") + F.col("upper")), 6).alias("coverage"))
 
 
 def fit_failure_counts(spark, sf_dir):
     _, pools = _pools(spark, sf_dir)
-    return fitting.fit_history(pools, QUICK).groupBy("model").agg(F.count("*").alias("attempts"), F.sum((F.col("status") == "failed").cast("long")).alias("failures"))
+    return fitting.fit_history(pools, MODELS).groupBy("model").agg(F.count("*").alias("attempts"), F.sum((F.col("status") == "failed").cast("long")).alias("failures"))
 
 
 def pit_parametric(spark, sf_dir):
     rows, pools = _pools(spark, sf_dir)
-    pits = fitting.pit(rows, fitting.fit_history(pools, ("normal_mixture_2",)), "normal_mixture_2")
-    return pits.groupBy("symbol", F.least(F.floor(F.col("pit") * 10), F.lit(9)).alias("bin")).agg(F.count("*").alias("n"))
+    pits = [fitting.pit(rows, fitting.fit_history(pools, (m,)), m).withColumn("model", F.lit(m)) for m in MODELS]
+    return reduce(DataFrame.union, pits).groupBy("model", "symbol", F.least(F.floor(F.col("pit") * 10), F.lit(9)).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def mc_case_summary(spark, sf_dir):
