@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the separators of every word pattern used here.
@@ -15,24 +17,54 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_WORD = re.compile(rb"[^\x09-\x0d\x20]+")
+BATCH_ROWS = 1_000
+BATCH_BYTES = 8 << 20
+#: Bytes of text that a kernel's arrays are made for at once, and rows.
+PART_BYTES = 1 << 19
+PART_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The folder every executor shares: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a local master; on a cluster, whose executors
+    would each write to a disk of their own, it is an error.
+    """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         known = sc._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where)
     return where
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on no Arrow batch of this session is over ``BATCH_ROWS`` rows or, by much, ``BATCH_BYTES`` bytes.
+
+    Smaller settings stay as they are. Without this, 10,000 long texts are one batch, held by the
+    JVM and by its Python worker.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def number(df: DataFrame, id_col: str, null: int) -> Column:
+    """The ids as longs: integers as they are, others by a hash (so of two that collide, one text is enough to tell them apart); null ids as ``null``."""
+    own = F.col(f"`{id_col}`")
+    kind = dict(df.dtypes)[id_col]
+    return F.coalesce(own.cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.when(own.isNotNull(), F.xxhash64(own)), F.lit(null))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and continue from there (never localCheckpoint)."""
     shared_dir(df.sparkSession)
@@ -66,17 +98,36 @@ def release(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bounded_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds about ``limit`` bytes of ``column`` (one row at least)."""
+def bounded_slices(batch: pa.RecordBatch, column: str, limit: int = PART_BYTES, rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part has at most ``rows`` rows and ``limit`` bytes of ``column`` (one row at least)."""
     ends = np.cumsum(_lengths(batch.column(column)))
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        stop = min(stop, start + rows)
         yield batch.slice(start, stop - start)
         start = stop
 
 
+def overlapping(text: bytes, k: int, limit: int = PART_BYTES) -> Iterator[bytes]:
+    """``text`` in parts of about ``limit`` bytes, cut between words, each with the first k - 1 words of the next.
+
+    So every run of k words lies in exactly one part.
+    """
+    s = 0
+    while len(text) - s > limit:
+        e = f = _WORD.match(text, s + limit).end() if _WORD.match(text, s + limit) else s + limit
+        for _ in range(k - 1):
+            word = _WORD.search(text, f)
+            f = word.end() if word else len(text)
+        if not _WORD.search(text, f):
+            break
+        yield text[s:f]
+        s = e
+    yield text[s:]
+
+
 def _lengths(column: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
@@ -118,8 +169,11 @@ class Words:
             self.start[1:] = ends[:-1] + 1
         self.n_texts = len(texts)
 
-    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(doc, start, end) of every k-word shingle; a shorter text's whole word sequence is its one shingle."""
+    def shingles(self, k: int, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, start, end) of every k-word shingle; a shorter text's whole word sequence is its one shingle.
+
+        ``whole``: which texts are whole ones; a shorter part of a text has no shingle.
+        """
         counts = np.bincount(self.doc, minlength=self.n_texts)
         n = len(self.doc)
         if n >= k:
@@ -127,7 +181,7 @@ class Words:
             doc, start, end = self.doc[i], self.start[i], self.end[i + k - 1]
         else:
             doc = start = end = np.zeros(0, np.int64)
-        short = np.flatnonzero((counts > 0) & (counts < k))
+        short = np.flatnonzero((counts > 0) & (counts < k) & (True if whole is None else whole))
         if len(short):
             firsts = np.searchsorted(self.doc, short)
             doc = np.concatenate([doc, short])
@@ -138,6 +192,32 @@ class Words:
         return doc, start, end
 
 
+def shingle_hashes(texts: list[bytes], k: int, seed: int = 42) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index of the text, XXH64) of every k-word shingle, repeats included, some at a time; indices ascend."""
+    at: list[int] = []
+    parts: list[bytes] = []
+    whole: list[bool] = []
+
+    def found():
+        words = Words(parts)
+        doc, start, end = words.shingles(k, np.array(whole))
+        return np.array(at)[doc], xxh64_ranges(words.buf, start, end, seed)
+
+    size = 0
+    for i, text in enumerate(texts):
+        own = [text] if len(text) <= PART_BYTES else list(overlapping(text, k))
+        for part in own:
+            if parts and size + len(part) > PART_BYTES:
+                yield found()
+                at, parts, whole, size = [], [], [], 0
+            at.append(i)
+            parts.append(part)
+            whole.append(len(own) == 1)
+            size += len(part)
+    if parts:
+        yield found()
+
+
 # XXH64's five primes: fixed values of the published algorithm.
 _P1, _P2, _P3, _P4, _P5 = (
     np.uint64(x)
