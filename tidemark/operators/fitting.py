@@ -15,6 +15,22 @@ FIT_SCHEMA = (
 )
 
 
+FIT_COLUMNS = ("model", "status", "reason", "n_train", "params", "center", "spread", "loglik", "diagnostics", "quantiles")
+
+
+def fit_row(model: str, values, probs) -> dict:
+    """The fit of one family as a row: what it found, or why it failed."""
+    from ..functions.families import FitError, fit
+
+    row = dict.fromkeys(FIT_COLUMNS) | {"model": model, "n_train": len(values)}
+    try:
+        found = fit(model, values)
+    except FitError as e:
+        return row | {"status": "failed", "reason": str(e)}
+    quantiles = [float(q) for q in found.ppf(list(probs))]
+    return row | {"status": "success", "quantiles": quantiles} | {c: getattr(found, c) for c in ("params", "center", "spread", "loglik", "diagnostics")}
+
+
 def refit_pools(rows: DataFrame, study: Study = DEFAULT) -> DataFrame:
     """(symbol, refit, refit_day, pool): residuals of the days before every ``refit_days``-th day."""
     days = rows.select("symbol", "day_idx").distinct().where(
@@ -38,20 +54,9 @@ def fit_history(pools: DataFrame, models=MODELS, probs=(0.025, 0.975), tasks: in
     cases = pools.select("symbol", "refit", "pool", F.explode(F.array(*map(F.lit, names))).alias("model")).repartition(tasks, "symbol", "refit", "model")
 
     def run(batches):
-        from ..functions.families import FitError, fit
-
         for batch in batches:
-            out = []
-            for symbol, refit, pool, model in batch[["symbol", "refit", "pool", "model"]].itertuples(index=False):
-                row = dict.fromkeys(("reason", "params", "center", "spread", "loglik", "diagnostics", "quantiles"))
-                row |= {"symbol": symbol, "refit": refit, "model": model, "status": "success", "n_train": len(pool)}
-                try:
-                    f = fit(model, pool)
-                    row |= {"params": f.params, "center": f.center, "spread": f.spread, "loglik": f.loglik, "diagnostics": f.diagnostics, "quantiles": [float(x) for x in f.ppf(probs)]}
-                except FitError as e:
-                    row |= {"status": "failed", "reason": str(e)}
-                out.append(row)
-            yield pd.DataFrame(out)[[c.split()[0] for c in FIT_SCHEMA.replace("map<string,double>", "m").replace("map<string,string>", "m").split(", ")]]
+            out = [{"symbol": r.symbol, "refit": r.refit} | fit_row(r.model, r.pool, probs) for r in batch.itertuples(index=False)]
+            yield pd.DataFrame(out, columns=["symbol", "refit", *FIT_COLUMNS])
 
     return cases.mapInPandas(run, FIT_SCHEMA)
 

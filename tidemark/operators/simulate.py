@@ -8,46 +8,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.families import SEED, Fitted
+from .fitting import fit_row
 
-CASE_SCHEMA = "dgp string, replication int, model string, status string, reason string, quantiles array<double>"
+CASE_SCHEMA = "dgp string, replication int, model string, status string, reason string, params map<string,double>, quantiles array<double>"
 
 
-def draw(law: Fitted, n: int, rng: np.random.Generator) -> np.ndarray:
-    """n standardized draws, by inversion of the law's distribution function."""
-    return law.ppf(np.clip(rng.random(n), 1e-12, 1 - 1e-12))
+def draw(source: Fitted | np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n standardized draws: by inversion of a law's distribution function, or with replacement from a pool."""
+    if isinstance(source, np.ndarray):
+        return rng.choice(source, n)
+    return source.ppf(np.clip(rng.random(n), 1e-12, 1 - 1e-12))
 
 
-def run_cases(spark: SparkSession, laws: dict[str, Fitted], replications: int, n: int, models, probs, seed: int = SEED, done: DataFrame | None = None) -> DataFrame:
-    """A row for each law, replication and model; cases in ``done`` (dgp, replication) are left out.
+def run_cases(spark: SparkSession, laws: dict[str, Fitted | np.ndarray], replications: int, n: int, models, probs, seed: int = SEED, done: DataFrame | None = None) -> DataFrame:
+    """A row for each law (or pool), replication and model, ``empirical`` among them; cases in ``done`` (dgp, replication) are left out.
 
-    Each case has a generator of its own, seeded by (seed, law, replication), so neither order nor
-    partitioning changes a result.
+    The sample of a law and replication has a generator of its own, seeded by both, so all models
+    see the same draws and neither order nor partitioning changes a result.
     """
-    names = sorted(laws)
-    grid = spark.range(len(names) * replications).select(
-        F.element_at(F.array(*map(F.lit, names)), (F.col("id") / replications).cast("int") + 1).alias("dgp"), (F.col("id") % replications).cast("int").alias("replication")
-    )
+    names, probs = sorted(laws), list(probs)
+    law, model = (F.explode(F.array(*map(F.lit, x))) for x in (names, ["empirical", *models]))
+    grid = spark.range(replications).select(F.col("id").cast("int").alias("replication"), law.alias("dgp")).select("*", model.alias("model"))
     if done is not None:
         grid = grid.join(done, ["dgp", "replication"], "left_anti")
-    models, probs = list(models), list(probs)
 
-    def run(batches):
-        from ..functions.families import FitError, fit
+    def one(dgp: str, replication: int, model: str) -> dict:
+        x = draw(laws[dgp], n, np.random.default_rng(np.random.SeedSequence([seed, names.index(dgp), replication])))
+        if model == "empirical":
+            return {"status": "success", "reason": None, "params": None, "quantiles": np.quantile(x, probs).tolist()}
+        return fit_row(model, x, probs)
 
+    def run(batches):
         for batch in batches:
-            out = []
-            for dgp, rep in batch.itertuples(index=False):
-                rng = np.random.default_rng(np.random.SeedSequence([seed, names.index(dgp), int(rep)]))
-                x = draw(laws[dgp], n, rng)
-                out.append((dgp, rep, "empirical", "success", None, np.quantile(x, probs).tolist()))
-                for m in models:
-                    try:
-                        out.append((dgp, rep, m, "success", None, [float(v) for v in fit(m, x).ppf(probs)]))
-                    except FitError as e:
-                        out.append((dgp, rep, m, "failed", str(e), None))
-            yield pd.DataFrame(out, columns=["dgp", "replication", "model", "status", "reason", "quantiles"])
-
-    return grid.repartition(max(1, min(256, len(names) * replications)), "dgp", "replication").mapInPandas(run, CASE_SCHEMA)
+            keys = ["dgp", "replication", "model"]
+            rows = [dict(zip(keys, key)) | one(*key) for key in batch[keys].itertuples(index=False, name=None)]
+            yield pd.DataFrame(rows, columns=[*keys, "status", "reason", "params", "quantiles"])
+
+    tasks = max(1, min(256, len(names) * replications))
+    return grid.repartition(tasks, "dgp", "replication", "model").mapInPandas(run, CASE_SCHEMA)
 
 
 def summary(cases: DataFrame, truth: DataFrame) -> DataFrame:
