@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,37 +12,55 @@ from ..config import DEFAULT, Study
 from .bars import overlapped
 
 FLOOR = 1e-16
+_FOLD = 256
 
 
 def ewma(rows: DataFrame, study: Study = DEFAULT, value: str = "r", out: str = "sigma", decay: float | None = None) -> DataFrame:
     """Adds ``out``: sqrt of the exponentially weighted mean square of all earlier rows of the symbol.
 
     The recursion v' = decay * v + (1 - decay) * r^2 is seeded with the mean of the first
-    ``rolling_bars`` squares and runs on over days and sessions; rows before have none. Each
-    row is an affine map of v and so is a day, whose map has a closed form. Days are folded
-    in order on one small array per symbol; within a day a window sum does the rest.
+    ``rolling_bars`` squares and runs on over days and sessions; rows before have none. Each row
+    is an affine map of v, and so is a unit, a run of rows of one day that is short enough for
+    decay^-rows to stay within 1e100. Inside a unit a window sum does the rest; units are folded in
+    order on small arrays, ``_FOLD`` of them at a time, so no array is copied more often than that.
     """
     lam = study.decay if decay is None else decay
     first = study.rolling_bars
+    reach = max(1, math.floor(100 * math.log(10) / -math.log(lam))) if 0 < lam < 1 else 1 << 30
     square = F.col(value) * F.col(value)
     seed = rows.where(F.col("seq") < first).groupBy("symbol").agg(F.avg(square).alias("_seed"), F.count("*").alias("_n"))
     seed = seed.where(F.col("_n") == first).drop("_n")
+    unit = ["symbol", "day_idx", "_u"]
     live = rows.where(F.col("seq") >= first)
-    day = W.partitionBy("symbol", "day_idx").orderBy("seq")
-    live = live.withColumn("_k", F.row_number().over(day))
+    live = live.withColumn("_k", F.row_number().over(W.partitionBy("symbol", "day_idx").orderBy("seq")) - 1)
+    live = live.withColumns({"_u": F.floor(F.col("_k") / reach), "_k": F.col("_k") % reach + 1})
     weighted = square * F.pow(F.lit(1 / lam), F.col("_k"))
-    live = live.withColumn("_past", F.coalesce(F.sum(weighted).over(day.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-    days = live.groupBy("symbol", "day_idx").agg(
-        F.pow(F.lit(lam), F.count("*")).alias("a"), (F.pow(F.lit(lam), F.count("*")) * (1 - lam) * F.sum(weighted)).alias("b")
-    )
-    folded = days.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("day_idx", "a", "b"))).alias("m")).join(seed, "symbol")
-    scan = """aggregate(m, named_struct('v', _seed, 'out', cast(array() as array<struct<day_idx:int,v:double>>)),
-        (s, x) -> named_struct('v', x.a * s.v + x.b, 'out', array_append(s.out, named_struct('day_idx', x.day_idx, 'v', s.v))), s -> s.out)"""
-    starts = folded.select("symbol", F.explode(F.expr(scan)).alias("s")).select("symbol", "s.day_idx", F.col("s.v").alias("_v"))
+    before = W.partitionBy(*unit).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    live = live.withColumn("_past", F.coalesce(F.sum(weighted).over(before), F.lit(0.0)))
+    units = live.groupBy(*unit).agg(F.pow(F.lit(lam), F.count("*")).alias("a"), (F.pow(F.lit(lam), F.count("*")) * (1 - lam) * F.sum(weighted)).alias("b"))
+    place = F.row_number().over(W.partitionBy("symbol").orderBy("day_idx", "_u")) - 1
+    part = F.array_sort(F.collect_list(F.struct("day_idx", "_u", "a", "b"))).alias("m")
+    parts = units.withColumn("_g", F.floor(place / _FOLD)).groupBy("symbol", "_g").agg(part)
+    whole = "aggregate(m, named_struct('a', 1D, 'b', 0D), (s, x) -> named_struct('a', x.a * s.a, 'b', x.a * s.b + x.b))"
+    maps = parts.select("symbol", "_g", F.expr(whole).alias("w")).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("_g", "w.a", "w.b"))).alias("m"))
+    heads = maps.join(seed, "symbol").select("symbol", F.explode(_scan("_g bigint", "_seed")).alias("s")).select("symbol", "s._g", F.col("s.v").alias("_seed"))
+    starts = parts.join(heads, ["symbol", "_g"]).select("symbol", F.explode(_scan("day_idx int, _u bigint", "_seed")).alias("s"))
+    starts = starts.select("symbol", "s.day_idx", "s._u", F.col("s.v").alias("_v"))
     v = F.pow(F.lit(lam), F.col("_k") - 1) * (F.col("_v") + (1 - lam) * F.col("_past"))
-    done = live.join(starts, ["symbol", "day_idx"]).withColumn(out, F.sqrt(F.greatest(v, F.lit(FLOOR))))
+    done = live.join(starts, unit).withColumn(out, F.sqrt(F.greatest(v, F.lit(FLOOR))))
     early = rows.where(F.col("seq") < first).withColumn(out, F.lit(None).cast("double"))
-    return done.drop("_k", "_past", "_v").unionByName(early)
+    return done.drop("_k", "_u", "_past", "_v").unionByName(early)
+
+
+def _scan(keys: str, start: str):
+    """Column: for each affine map of the array ``m``, its keys and the value that it starts from."""
+    names = [k.split()[0] for k in keys.split(", ")]
+    kind = ", ".join(f"{n}: {t}" for n, t in (k.split() for k in keys.split(", ")))
+    own = ", ".join(f"'{n}', x.{n}" for n in names)
+    return F.expr(
+        f"""aggregate(m, named_struct('v', {start}, 'out', cast(array() as array<struct<{kind}, v: double>>)),
+        (s, x) -> named_struct('v', x.a * s.v + x.b, 'out', array_append(s.out, named_struct({own}, 'v', s.v))), s -> s.out)"""
+    )
 
 
 def rolling(rows: DataFrame, study: Study = DEFAULT, value: str = "r", out: str = "sigma_roll", bars: int | None = None) -> DataFrame:

@@ -67,10 +67,6 @@ SHARED: dict[str, str] = {
         SELECT model, level, sum((1 - p) * (1 - f)) * 1e0 AS n00, sum((1 - p) * f) * 1e0 AS n01, sum(p * (1 - f)) * 1e0 AS n10, sum(p * f) * 1e0 AS n11, count(*) * 1e0 AS t FROM (
         SELECT model, level, lower + upper AS f, lag(lower + upper) OVER (PARTITION BY symbol, d, session, model, level ORDER BY slot) AS p FROM {scored}) x WHERE p IS NOT NULL GROUP BY model, level)""",
     # probability integral transform of the empirical model
-    "pit_histogram_empirical": f"""SELECT symbol, CAST(least(floor(pit * {S.pit_bins}), {S.pit_bins - 1}) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n FROM (
-        SELECT a.symbol, a.seq, (sum(CASE WHEN b.z <= a.z THEN 1 ELSE 0 END) + 5e-1) / (count(*) + 1) AS pit FROM {{sigma}} a JOIN {{sigma}} b
-        ON a.symbol = b.symbol AND b.day_idx BETWEEN a.day_idx - {S.history_days} AND a.day_idx - 1 AND a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY a.symbol, a.seq HAVING count(*) >= {S.min_history})
-        GROUP BY symbol, CAST(least(floor(pit * {S.pit_bins}), {S.pit_bins - 1}) AS BIGINT)""",
     # seasonal volatility
     "seasonal_factors": "SELECT symbol, CAST(day_idx AS BIGINT) AS day_idx, CAST(bucket AS BIGINT) AS bucket, round(factor, 8) AS factor FROM {factors}",
     "seasonal_sigma": "SELECT symbol, CAST(seq AS BIGINT) AS seq, round(factor, 8) AS factor, round(sigma_season, 8) AS sigma_season FROM {seasonal} WHERE sigma_season IS NOT NULL",
@@ -85,28 +81,11 @@ SHARED: dict[str, str] = {
         FROM {sigma} s JOIN (SELECT symbol AS sy, avg(z) AS m FROM {sigma} GROUP BY symbol) c ON s.symbol = c.sy WHERE z IS NOT NULL GROUP BY s.symbol)""",
     "tail_shares": """SELECT symbol, round(avg(CASE WHEN abs(z) > 2 THEN 1e0 ELSE 0e0 END), 8) AS above_2, round(avg(CASE WHEN abs(z) > 3 THEN 1e0 ELSE 0e0 END), 8) AS above_3,
         round(percentile_cont(9e-1) WITHIN GROUP (ORDER BY abs(z)), 8) AS q90, round(percentile_cont(99e-2) WITHIN GROUP (ORDER BY abs(z)), 8) AS q99 FROM {sigma} WHERE z IS NOT NULL GROUP BY symbol""",
-    "acf_within_session": """SELECT symbol, CAST(k AS BIGINT) AS lag, CAST(count(*) AS BIGINT) AS pairs, round(avg((z - m) * (zk - m)) / max(v), 8) AS acf, round(196e-2 / sqrt(count(*)), 8) AS band95 FROM (
-        SELECT s.symbol, k, z, m, v, CASE k WHEN 1 THEN z1 WHEN 2 THEN z2 WHEN 3 THEN z3 ELSE z4 END AS zk, CASE k WHEN 1 THEN s1 WHEN 2 THEN s2 WHEN 3 THEN s3 ELSE s4 END AS sk, slot,
-               CASE k WHEN 1 THEN g1 WHEN 2 THEN g2 WHEN 3 THEN g3 ELSE g4 END AS gk, g FROM (
-          SELECT symbol, z, slot, g, lag(z, 1) OVER w AS z1, lag(z, 2) OVER w AS z2, lag(z, 3) OVER w AS z3, lag(z, 4) OVER w AS z4, lag(slot, 1) OVER w AS s1, lag(slot, 2) OVER w AS s2, lag(slot, 3) OVER w AS s3,
-                 lag(slot, 4) OVER w AS s4, lag(g, 1) OVER w AS g1, lag(g, 2) OVER w AS g2, lag(g, 3) OVER w AS g3, lag(g, 4) OVER w AS g4
-          FROM (SELECT symbol, z, slot, seq, day_idx * 2 + CASE WHEN session = 'pm' THEN 1 ELSE 0 END AS g FROM {sigma} WHERE z IS NOT NULL) i WINDOW w AS (PARTITION BY symbol ORDER BY seq)) s
-        JOIN (SELECT symbol AS sy, avg(z) AS m, var_pop(z) AS v FROM {sigma} GROUP BY symbol) c ON s.symbol = c.sy CROSS JOIN (VALUES (1), (2), (3), (4)) AS lags(k)) t
-        WHERE g = gk AND slot - sk = k GROUP BY symbol, k""",
-    "portmanteau": """SELECT symbol, round(sum(pairs * acf * acf), 8) AS q, CAST(count(*) AS BIGINT) AS lags, round(exp(-sum(pairs * acf * acf) / 2) * (1 + sum(pairs * acf * acf) / 2), 8) AS p_value FROM (
-        SELECT s.symbol, k, count(*) AS pairs, avg((z - m) * (CASE k WHEN 1 THEN z1 WHEN 2 THEN z2 WHEN 3 THEN z3 ELSE z4 END - m)) / max(v) AS acf FROM (
-          SELECT symbol, z, slot, g, lag(z, 1) OVER w AS z1, lag(z, 2) OVER w AS z2, lag(z, 3) OVER w AS z3, lag(z, 4) OVER w AS z4, lag(slot, 1) OVER w AS s1, lag(slot, 2) OVER w AS s2, lag(slot, 3) OVER w AS s3,
-                 lag(slot, 4) OVER w AS s4, lag(g, 1) OVER w AS g1, lag(g, 2) OVER w AS g2, lag(g, 3) OVER w AS g3, lag(g, 4) OVER w AS g4
-          FROM (SELECT symbol, z, slot, seq, day_idx * 2 + CASE WHEN session = 'pm' THEN 1 ELSE 0 END AS g FROM {sigma} WHERE z IS NOT NULL) i WINDOW w AS (PARTITION BY symbol ORDER BY seq)) s
-        JOIN (SELECT symbol AS sy, avg(z) AS m, var_pop(z) AS v FROM {sigma} GROUP BY symbol) c ON s.symbol = c.sy CROSS JOIN (VALUES (1), (2), (3), (4)) AS lags(k)
-        WHERE g = CASE k WHEN 1 THEN g1 WHEN 2 THEN g2 WHEN 3 THEN g3 ELSE g4 END AND slot - CASE k WHEN 1 THEN s1 WHEN 2 THEN s2 WHEN 3 THEN s3 ELSE s4 END = k GROUP BY s.symbol, k) GROUP BY symbol""",
     "clustered_mean_z2": """SELECT symbol, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS days, round(max(m), 8) AS mean, round(sqrt(count(*) * 1e0 / nullif(count(*) - 1, 0) * sum(dev * dev)) / sum(n), 8) AS se FROM (
         SELECT s.symbol, d, count(*) AS n, max(m) AS m, sum(z * z - m) AS dev FROM {sigma} s JOIN (SELECT symbol AS sy, avg(z * z) AS m FROM {sigma} GROUP BY symbol) c ON s.symbol = c.sy
         WHERE z IS NOT NULL GROUP BY s.symbol, d) GROUP BY symbol""",
     "intraday_profile": """SELECT symbol, lpad(CAST(slot AS STRING), 2, '0') AS clock, CAST(count(*) AS BIGINT) AS n, round(avg(z * z), 8) AS mean_z2, round(stddev_pop(z), 8) AS std_z, round(avg(sigma), 8) AS mean_sigma,
         round(sqrt(avg(r * r)), 8) AS rms_r FROM {sigma} WHERE z IS NOT NULL GROUP BY symbol, lpad(CAST(slot AS STRING), 2, '0')""",
-    "season_adjusted_moments": """SELECT symbol, round(stddev_pop(a), 8) AS std, round(max(abs(a)), 8) AS max_abs, round(avg(CASE WHEN abs(a) > 2 THEN 1e0 ELSE 0e0 END), 8) AS above_2 FROM (
-        SELECT symbol, z / sqrt(avg(z * z) OVER (PARTITION BY symbol, slot)) AS a FROM {sigma} WHERE z IS NOT NULL) GROUP BY symbol""",
     "sigma_quantile_groups": """SELECT symbol, grp, CAST(count(*) AS BIGINT) AS n, round(avg(z * z), 8) AS mean_z2, round(avg(sigma), 8) AS mean_sigma FROM (
         SELECT s.symbol, z, sigma, CASE WHEN sigma < e1 THEN 'Q1' WHEN sigma < e2 THEN 'Q2' WHEN sigma < e3 THEN 'Q3' WHEN sigma < e4 THEN 'Q4' ELSE 'Q5' END AS grp FROM {sigma} s JOIN (
           SELECT symbol AS sy, percentile_cont(2e-1) WITHIN GROUP (ORDER BY sigma) AS e1, percentile_cont(4e-1) WITHIN GROUP (ORDER BY sigma) AS e2, percentile_cont(6e-1) WITHIN GROUP (ORDER BY sigma) AS e3,
@@ -117,8 +96,6 @@ SHARED: dict[str, str] = {
     # refits
     "refit_schedule": f"""SELECT symbol, CAST(day_idx AS BIGINT) AS day_idx, CAST(floor((day_idx - {S.history_days}) / {S.refit_days}e0) AS BIGINT) AS refit,
         CASE WHEN (day_idx - {S.history_days}) % {S.refit_days} = 0 THEN 1 ELSE 0 END AS refits_now FROM (SELECT DISTINCT symbol, day_idx FROM {{samples}}) WHERE day_idx >= {S.history_days}""",
-    "asof_active_fit": f"""SELECT b.symbol, CAST(b.day_idx AS BIGINT) AS day_idx, CAST(max(f.day_idx) AS BIGINT) AS refit_day FROM (SELECT DISTINCT symbol, day_idx FROM {{samples}}) b
-        JOIN (SELECT DISTINCT symbol, day_idx FROM {{samples}} WHERE day_idx >= {S.history_days} AND (day_idx - {S.history_days}) % {S.refit_days} = 0) f ON b.symbol = f.symbol AND f.day_idx <= b.day_idx GROUP BY b.symbol, b.day_idx""",
     "raw_vs_std_scale": """SELECT s.symbol, CAST(q.level AS BIGINT) AS level, round(sum(s.sigma * (z_high - z_low)), 6) AS std_width, round(sum(s.sigma * (c.m + c.sd * z_high) - s.sigma * (c.m + c.sd * z_low)), 6) AS raw_width
         FROM {sigma} s JOIN {zq} q ON s.symbol = q.symbol AND s.day_idx = q.day_idx JOIN (SELECT symbol AS sy, avg(z) AS m, stddev_pop(z) AS sd FROM {sigma} GROUP BY symbol) c ON s.symbol = c.sy
         WHERE s.sigma IS NOT NULL GROUP BY s.symbol, q.level""",
@@ -136,6 +113,43 @@ SHARED: dict[str, str] = {
     "order_day_extremes": "SELECT symbol, CAST(d AS STRING) AS d, round(r, 8) AS r, CAST(place AS BIGINT) AS place FROM (SELECT symbol, d, r, row_number() OVER (PARTITION BY symbol ORDER BY abs(r) DESC, d) AS place FROM {daily}) WHERE place <= 5",
 }
 
+# A pair of lags lies within one day and session: Spark partitions by these, the oracle runs over the whole series and compares.
+_ACF = """SELECT symbol, CAST(k AS BIGINT) AS lag, CAST(count(*) AS BIGINT) AS pairs, round(avg((z - m) * (zk - m)) / max(v), 8) AS acf, round(196e-2 / sqrt(count(*)), 8) AS band95 FROM (
+        SELECT s.symbol, k, z, m, v, CASE k WHEN 1 THEN z1 WHEN 2 THEN z2 WHEN 3 THEN z3 ELSE z4 END AS zk, CASE k WHEN 1 THEN s1 WHEN 2 THEN s2 WHEN 3 THEN s3 ELSE s4 END AS sk, slot,
+               CASE k WHEN 1 THEN g1 WHEN 2 THEN g2 WHEN 3 THEN g3 ELSE g4 END AS gk, g FROM (
+          SELECT symbol, z, slot, g, lag(z, 1) OVER w AS z1, lag(z, 2) OVER w AS z2, lag(z, 3) OVER w AS z3, lag(z, 4) OVER w AS z4, lag(slot, 1) OVER w AS s1, lag(slot, 2) OVER w AS s2, lag(slot, 3) OVER w AS s3,
+                 lag(slot, 4) OVER w AS s4, lag(g, 1) OVER w AS g1, lag(g, 2) OVER w AS g2, lag(g, 3) OVER w AS g3, lag(g, 4) OVER w AS g4
+          FROM (SELECT symbol, z, slot, seq, day_idx * 2 + CASE WHEN session = 'pm' THEN 1 ELSE 0 END AS g FROM {sigma} WHERE z IS NOT NULL) i WINDOW w AS (PARTITION BY symbol ORDER BY seq)) s
+        JOIN (SELECT symbol AS sy, avg(z) AS m, var_pop(z) AS v FROM {sigma} GROUP BY symbol) c ON s.symbol = c.sy CROSS JOIN (VALUES (1), (2), (3), (4)) AS lags(k)) t
+        WHERE g = gk AND slot - sk = k GROUP BY symbol, k"""
+_PORTMANTEAU = """SELECT symbol, round(sum(pairs * acf * acf), 8) AS q, CAST(count(*) AS BIGINT) AS lags, round(exp(-sum(pairs * acf * acf) / 2) * (1 + sum(pairs * acf * acf) / 2), 8) AS p_value FROM (
+        SELECT s.symbol, k, count(*) AS pairs, avg((z - m) * (CASE k WHEN 1 THEN z1 WHEN 2 THEN z2 WHEN 3 THEN z3 ELSE z4 END - m)) / max(v) AS acf FROM (
+          SELECT symbol, z, slot, g, lag(z, 1) OVER w AS z1, lag(z, 2) OVER w AS z2, lag(z, 3) OVER w AS z3, lag(z, 4) OVER w AS z4, lag(slot, 1) OVER w AS s1, lag(slot, 2) OVER w AS s2, lag(slot, 3) OVER w AS s3,
+                 lag(slot, 4) OVER w AS s4, lag(g, 1) OVER w AS g1, lag(g, 2) OVER w AS g2, lag(g, 3) OVER w AS g3, lag(g, 4) OVER w AS g4
+          FROM (SELECT symbol, z, slot, seq, day_idx * 2 + CASE WHEN session = 'pm' THEN 1 ELSE 0 END AS g FROM {sigma} WHERE z IS NOT NULL) i WINDOW w AS (PARTITION BY symbol ORDER BY seq)) s
+        JOIN (SELECT symbol AS sy, avg(z) AS m, var_pop(z) AS v FROM {sigma} GROUP BY symbol) c ON s.symbol = c.sy CROSS JOIN (VALUES (1), (2), (3), (4)) AS lags(k)
+        WHERE g = CASE k WHEN 1 THEN g1 WHEN 2 THEN g2 WHEN 3 THEN g3 ELSE g4 END AND slot - CASE k WHEN 1 THEN s1 WHEN 2 THEN s2 WHEN 3 THEN s3 ELSE s4 END = k GROUP BY s.symbol, k) GROUP BY symbol"""
+
+
+def _within_sessions(text: str) -> str:
+    return text.replace("SELECT symbol, z, slot, seq, day_idx", "SELECT symbol, z, slot, seq, d, session, day_idx").replace("PARTITION BY symbol ORDER BY seq", "PARTITION BY symbol, d, session ORDER BY seq")
+
+
+_SEASON_MOMENTS = """SELECT symbol, round(stddev_pop(a), 8) AS std, round(max(abs(a)), 8) AS max_abs, round(avg(CASE WHEN abs(a) > 2 THEN 1e0 ELSE 0e0 END), 8) AS above_2 FROM (
+        SELECT symbol, z / sqrt(avg(z * z) OVER (PARTITION BY symbol, slot)) AS a FROM {sigma} WHERE z IS NOT NULL) GROUP BY symbol"""
+_SEASON_MOMENTS_JOINED = """SELECT symbol, round(stddev_pop(a), 8) AS std, round(max(abs(a)), 8) AS max_abs, round(avg(CASE WHEN abs(a) > 2 THEN 1e0 ELSE 0e0 END), 8) AS above_2 FROM (
+    SELECT s.symbol, z / sqrt(m2) AS a FROM {sigma} s JOIN (SELECT symbol AS sy, slot AS sl, avg(z * z) AS m2 FROM {sigma} WHERE z IS NOT NULL GROUP BY symbol, slot) m ON s.symbol = m.sy AND s.slot = m.sl WHERE z IS NOT NULL) GROUP BY symbol"""
+_ASOF = f"""SELECT b.symbol, CAST(b.day_idx AS BIGINT) AS day_idx, CAST(max(f.day_idx) AS BIGINT) AS refit_day FROM (SELECT DISTINCT symbol, day_idx FROM {{samples}}) b
+        JOIN (SELECT DISTINCT symbol, day_idx FROM {{samples}} WHERE day_idx >= {S.history_days} AND (day_idx - {S.history_days}) % {S.refit_days} = 0) f ON b.symbol = f.symbol AND f.day_idx <= b.day_idx GROUP BY b.symbol, b.day_idx"""
+_ASOF_LATEST = f"""SELECT symbol, CAST(day_idx AS BIGINT) AS day_idx, CAST(refit_day AS BIGINT) AS refit_day FROM (SELECT symbol, day_idx,
+    max(CASE WHEN day_idx >= {S.history_days} AND (day_idx - {S.history_days}) % {S.refit_days} = 0 THEN day_idx END) OVER (PARTITION BY symbol ORDER BY day_idx) AS refit_day
+    FROM (SELECT DISTINCT symbol, day_idx FROM {{samples}}) x) y WHERE refit_day IS NOT NULL"""
+# Each residual is sent to the days that look back at it; there one running count ranks the day's own residuals.
+_PIT_RANKED = f"""SELECT symbol, seq, day_idx, (below + 5e-1) / (n + 1) AS pit FROM (
+    SELECT symbol, seq, day_idx, h, sum(h) OVER (PARTITION BY symbol, day_idx ORDER BY z) AS below, sum(h) OVER (PARTITION BY symbol, day_idx) AS n FROM (
+      SELECT symbol, CAST(NULL AS BIGINT) AS seq, day_idx + o AS day_idx, z, 1 AS h FROM {{sigma}} CROSS JOIN (VALUES {", ".join(f"({o})" for o in range(1, S.history_days + 1))}) AS back(o) WHERE z IS NOT NULL
+      UNION ALL SELECT symbol, CAST(seq AS BIGINT), day_idx, z, 0 FROM {{sigma}} WHERE z IS NOT NULL) u) v WHERE h = 0 AND n >= {S.min_history}"""
+_PIT_BINS = f"""SELECT symbol, CAST(least(floor(pit * {S.pit_bins}), {S.pit_bins - 1}) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n FROM (PIT) p GROUP BY symbol, CAST(least(floor(pit * {S.pit_bins}), {S.pit_bins - 1}) AS BIGINT)"""
 _PIT = """SELECT a.symbol, a.seq, a.day_idx, (sum(CASE WHEN b.z <= a.z THEN 1 ELSE 0 END) + 5e-1) / (count(*) + 1) AS pit FROM {sigma} a JOIN {sigma} b
     ON a.symbol = b.symbol AND b.day_idx BETWEEN a.day_idx - 10 AND a.day_idx - 1 AND a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY a.symbol, a.seq, a.day_idx HAVING count(*) >= 20"""
 _BOOT = f"""SELECT rep, CAST(count(*) AS BIGINT) AS days, round(sum(diff) / nullif(sum(n), 0), 8) AS stat FROM (
@@ -153,32 +167,27 @@ _LOSS = """SELECT q.symbol, CAST(q.level AS BIGINT) AS level, round(avg(-p * v +
     FROM (SELECT symbol, level, (1 + level / 1000e0) / 2 AS p, least(greatest(z_high, -8e0), 7999e-3) AS v FROM {zq}) q JOIN e a ON a.i = CAST(floor((v + 8) / 16e0 * 2000) AS BIGINT) JOIN e b ON b.i = a.i + 1 GROUP BY q.symbol, q.level"""
 
 
-def _by_days(texts: tuple[str, str]) -> tuple[str, str]:
-    """Spark's text with as many blocks as the days fill; DuckDB's keeps its ten, which are enough up to 50 days."""
-    spark, duck = texts
-    fixed, cnt = "blks AS (SELECT id AS blk FROM range(10)), ", "cnt AS (SELECT count(*) AS m FROM dd)"
-    whole = f", blks AS (SELECT explode(sequence(0L, greatest(ceil(m / {S.block_days}), 1L) - 1)) AS blk FROM cnt)"
-    return spark.replace(fixed, "").replace(cnt, cnt + whole), duck
-
-
 def _both(template: str) -> tuple[str, str]:
-    """A text for Spark and one for DuckDB: SERIES(a,n) is a column of 0..n-1 named a."""
+    """A text for Spark and one for DuckDB: SERIES(a,n) is a column of 0..n-1 named a, UPTO(a,e) one of 0..e-1 for each row, e at least 1."""
     import re
 
     spark = re.sub(r"SERIES\((\w+),(\d+)\)", r"SELECT id AS \1 FROM range(\2)", template)
     duck = re.sub(r"SERIES\((\w+),(\d+)\)", r"SELECT range AS \1 FROM range(\2)", template)
+    spark = re.sub(r"UPTO\((\w+),([^;]+);\)", r"SELECT explode(sequence(0L, CAST(greatest(\2, 1) AS BIGINT) - 1)) AS \1", spark)
+    duck = re.sub(r"UPTO\((\w+),([^;]+);\)", r"SELECT unnest(range(CAST(greatest(\2, 1) AS BIGINT))) AS \1", duck)
     return spark, duck
 
 
-_REPS = f"reps AS (SERIES(rep,{S.replicates})), blks AS (SERIES(blk,10)), offs AS (SERIES(o,{S.block_days})), dd AS ({_DAYDIFF}), cnt AS (SELECT count(*) AS m FROM dd)"
+_REPS = f"""reps AS (SERIES(rep,{S.replicates})), offs AS (SERIES(o,{S.block_days})), dd AS ({_DAYDIFF}), cnt AS (SELECT count(*) AS m FROM dd),
+    blks AS (UPTO(blk,ceil(m / {S.block_days}e0);) FROM cnt)"""
 #: name -> (Spark SQL, DuckDB SQL); the texts start with their own common table expressions
 PAIRS: dict[str, tuple[str, str]] = {
-    "block_bootstrap": _by_days(_both(f"WITH {_REPS}, st AS ({_BOOT}) SELECT CAST(rep AS BIGINT) AS rep, days, stat FROM st")),
-    "bootstrap_summary": _by_days(_both(
+    "block_bootstrap": _both(f"WITH {_REPS}, st AS ({_BOOT}) SELECT CAST(rep AS BIGINT) AS rep, days, stat FROM st"),
+    "bootstrap_summary": _both(
         f"""WITH {_REPS}, st AS ({_BOOT}), ob AS (SELECT sum(diff) / nullif(sum(n), 0) AS obs FROM dd)
         SELECT round(max(obs), 8) AS observed, round(percentile_cont(25e-3) WITHIN GROUP (ORDER BY stat), 8) AS low, round(percentile_cont(975e-3) WITHIN GROUP (ORDER BY stat), 8) AS high,
         round((1 + sum(CASE WHEN abs(stat - obs) >= abs(obs) THEN 1 ELSE 0 END)) / (count(*) + 1e0), 8) AS p_two_sided FROM st CROSS JOIN ob"""
-    )),
+    ),
     "trapezoid_cdf": _both(f"WITH g AS (SERIES(i,2001)), d AS ({_GRID}), c AS ({_CDF}) SELECT CAST(i AS BIGINT) AS i, round(x, 8) AS x, round(cdf, 8) AS cdf FROM c"),
     "interp_grid": _both(f"WITH g AS (SERIES(i,2001)), d AS ({_GRID}), c AS ({_CDF}) {_INTERP}"),
     "expected_loss_grid": _both(f"WITH g AS (SERIES(i,2001)), d AS ({_GRID}), c AS ({_CDF}), e AS ({_INT}) {_LOSS}"),
@@ -186,10 +195,16 @@ PAIRS: dict[str, tuple[str, str]] = {
         """WITH r AS (SERIES(rep,20)), done AS (SELECT DISTINCT symbol AS dgp, day_idx AS rep FROM {samples} WHERE day_idx % 3 = 0)
         SELECT c.dgp, CAST(c.rep AS BIGINT) AS rep FROM (SELECT dgp, r.rep FROM (SELECT DISTINCT symbol AS dgp FROM {samples}) s CROSS JOIN r) c LEFT ANTI JOIN done ON c.dgp = done.dgp AND c.rep = done.rep"""
     ),
-    "pit_recalibration_map": (
-        f"""WITH p AS ({_PIT}), g AS (SELECT DISTINCT symbol, day_idx FROM p) SELECT g.symbol, CAST(g.day_idx AS BIGINT) AS day_idx, CAST(count(*) AS BIGINT) AS n,
-        round(percentile_cont(5e-2) WITHIN GROUP (ORDER BY pit), 8) AS p05, round(percentile_cont(95e-2) WITHIN GROUP (ORDER BY pit), 8) AS p95 FROM g JOIN p ON p.symbol = g.symbol AND p.day_idx < g.day_idx GROUP BY g.symbol, g.day_idx""",
-    ) * 2,
+    "pit_histogram_empirical": (_PIT_BINS.replace("PIT", _PIT_RANKED), _PIT_BINS.replace("PIT", _PIT)),
+    "acf_within_session": (_within_sessions(_ACF), _ACF),
+    "portmanteau": (_within_sessions(_PORTMANTEAU), _PORTMANTEAU),
+    "season_adjusted_moments": (_SEASON_MOMENTS_JOINED, _SEASON_MOMENTS),
+    "asof_active_fit": (_ASOF_LATEST, _ASOF),
+    "pit_recalibration_map": tuple(
+        f"""WITH p AS (PIT), g AS (SELECT DISTINCT symbol, day_idx FROM p) SELECT g.symbol, CAST(g.day_idx AS BIGINT) AS day_idx, CAST(count(*) AS BIGINT) AS n,
+        round(percentile_cont(5e-2) WITHIN GROUP (ORDER BY pit), 8) AS p05, round(percentile_cont(95e-2) WITHIN GROUP (ORDER BY pit), 8) AS p95 FROM g JOIN p ON p.symbol = g.symbol AND p.day_idx < g.day_idx GROUP BY g.symbol, g.day_idx""".replace("PIT", pit)
+        for pit in (_PIT_RANKED, _PIT)
+    ),
     "sample_row_hash": (
         "SELECT symbol, sha2(concat_ws('|', symbol, CAST(d AS STRING), CAST(slot AS STRING)), 256) AS h FROM {samples}",
         "SELECT symbol, sha256(concat_ws('|', symbol, CAST(d AS VARCHAR), CAST(slot AS VARCHAR))) AS h FROM {samples}",

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..functions.families import MODELS, Fitted
 from ..operators import fitting, inference, simulate
 from ..shipping import ship
@@ -80,6 +81,13 @@ def stream_tumbling_bars(spark, sf_dir):
     return bars.select("symbol", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "open", "high", "low", "close", F.round("volume", 4).alias("volume"))
 
 
+def stream_sliding_bars(spark, sf_dir):
+    """Windows of two bars that start at every bar."""
+    ticks = streams.read_ticks(spark, f"{sf_dir}/events.parquet")
+    found = streams.drain(streams.sliding_bars(ticks), f"sliding_{uuid.uuid4().hex}", mode="complete")
+    return found.select("symbol", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "high", "low", F.round("volume", 4).alias("volume"))
+
+
 def stream_ewma_state(spark, sf_dir):
     ship(spark)
     ticks = streams.read_ticks(spark, f"{sf_dir}/events.parquet")
@@ -91,6 +99,23 @@ QUERIES = {
     f.__name__: f
     for f in (
         fit_nine_families, mixture_em_fit, walk_forward_scores, fit_failure_counts, pit_parametric, mc_case_summary, independence_p, seeded_bootstrap,
-        stream_tumbling_bars, stream_ewma_state,
+        stream_tumbling_bars, stream_sliding_bars, stream_ewma_state,
     )
 }
+
+#: Streams over all that is there equal their batch counterparts.
+ORACLES = {
+    "stream_tumbling_bars": core.oracle(
+        f"""SELECT symbol, strftime(d::TIMESTAMP + to_minutes(slot * {DEFAULT.bar_minutes}), '%Y-%m-%d %H:%M') AS start, CAST(n AS BIGINT) AS n, open, high, low, close, round(volume, 4) AS volume FROM fine""",
+        ("fine",),
+    ),
+    "stream_sliding_bars": core.oracle(
+        f"""SELECT symbol, strftime(time_bucket(INTERVAL '{DEFAULT.bar_minutes} minutes', ts) - to_minutes({DEFAULT.bar_minutes} * o), '%Y-%m-%d %H:%M') AS start, CAST(count(*) AS BIGINT) AS n,
+        max(value) AS high, min(value) AS low, round(sum(value), 4) AS volume FROM ticks CROSS JOIN range(2) t(o) GROUP BY ALL""",
+        ("ticks",),
+    ),
+    "stream_ewma_state": """WITH RECURSIVE t AS (SELECT event_type AS symbol, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+        e AS (SELECT symbol, event_id, k, CASE WHEN value > 0 THEN value END AS last, 0::DOUBLE AS v FROM t WHERE k = 1
+        UNION ALL SELECT t.symbol, t.event_id, t.k, CASE WHEN t.value > 0 THEN t.value ELSE e.last END, CASE WHEN t.value > 0 AND e.last IS NOT NULL THEN 0.94 * e.v + 0.06 * ln(t.value / e.last) ** 2 ELSE e.v END
+        FROM e JOIN t ON t.symbol = e.symbol AND t.k = e.k + 1) SELECT symbol, event_id, round(v, 8) AS v FROM e""",
+}

@@ -40,6 +40,16 @@ def tumbling_bars(events: DataFrame, study: Study = DEFAULT, late: str = "10 min
     )
 
 
+def sliding_bars(events: DataFrame, study: Study = DEFAULT, bars: int = 2, late: str = "10 minutes") -> DataFrame:
+    """(symbol, start, n, high, low, volume) of windows of ``bars`` bars that start at every bar."""
+    live = events.where("value > 0").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    window = F.window("ts", f"{bars * study.bar_minutes} minutes", f"{study.bar_minutes} minutes").alias("w")
+    found = live.groupBy(window, F.col("event_type").alias("symbol")).agg(
+        F.count("*").alias("n"), F.max("value").alias("high"), F.min("value").alias("low"), F.sum("value").alias("volume")
+    )
+    return found.select("symbol", F.col("w.start").alias("start"), "n", "high", "low", "volume")
+
+
 def ewma_state(events: DataFrame, decay: float = 0.94) -> DataFrame:
     """(symbol, event_id, v): running exponential mean of squared log changes, kept as state by symbol."""
 
