@@ -77,7 +77,7 @@ def walk_forward(rows: DataFrame, history: DataFrame, level: float, study: Study
 
 
 def pit(rows: DataFrame, history: DataFrame, model: str, study: Study = DEFAULT) -> DataFrame:
-    """(symbol, seq, pit) under the fit in force of one family; clipped into [0, 1]."""
+    """(symbol, day_idx, seq, pit) under the fit in force of one family; clipped into [0, 1]."""
     fits = history.where((F.col("status") == "success") & (F.col("model") == model)).select("symbol", "refit", "params", "center", "spread")
     live = rows.where("z is not null").withColumn("refit", F.floor((F.col("day_idx") - study.history_days) / study.refit_days).cast("int"))
     joined = live.where(F.col("day_idx") >= study.history_days).join(fits, ["symbol", "refit"])
@@ -87,6 +87,6 @@ def pit(rows: DataFrame, history: DataFrame, model: str, study: Study = DEFAULT)
 
         p = pdf["params"].iloc[0]
         f = Fitted(model, dict(p), float(pdf["center"].iloc[0]), float(pdf["spread"].iloc[0]), len(pdf), 0.0)
-        return pd.DataFrame({"symbol": pdf["symbol"], "seq": pdf["seq"], "pit": f.cdf(pdf["z"].to_numpy()).clip(0, 1)})
+        return pd.DataFrame({"symbol": pdf["symbol"], "day_idx": pdf["day_idx"], "seq": pdf["seq"], "pit": f.cdf(pdf["z"].to_numpy()).clip(0, 1)})
 
-    return joined.select("symbol", "refit", "seq", "z", "params", "center", "spread").groupBy("symbol", "refit").applyInPandas(run, "symbol string, seq long, pit double")
+    return joined.select("symbol", "refit", "day_idx", "seq", "z", "params", "center", "spread").groupBy("symbol", "refit").applyInPandas(run, "symbol string, day_idx int, seq long, pit double")

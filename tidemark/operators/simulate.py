@@ -48,6 +48,84 @@ def run_cases(spark: SparkSession, laws: dict[str, Fitted | np.ndarray], replica
     return grid.repartition(tasks, "dgp", "replication", "model").mapInPandas(run, CASE_SCHEMA)
 
 
+GRID = np.linspace(-30.0, 30.0, 12_001)
+
+
+def representatives(history: DataFrame) -> DataFrame:
+    """Of each model, the successful fit whose quantiles are nearest (least squares) to the median quantiles of its fits."""
+    good = history.where("status = 'success'")
+    long = good.select("model", "symbol", "refit", F.posexplode("quantiles").alias("place", "q"))
+    middle = long.groupBy("model", "place").agg(F.median("q").alias("m"))
+    apart = long.join(middle, ["model", "place"]).groupBy("model", "symbol", "refit").agg(F.round(F.sum((F.col("q") - F.col("m")) ** 2), 12).alias("apart"))
+    first = apart.groupBy("model").agg(F.min(F.struct("apart", "symbol", "refit")).alias("f")).select("model", "f.*")
+    return good.join(first, ["model", "symbol", "refit"]).select("model", "symbol", "refit", "n_train", "params", "center", "spread", "quantiles", "apart")
+
+
+def setup(history: DataFrame, pools: DataFrame) -> tuple[dict[str, Fitted | np.ndarray], int]:
+    """(laws, n) of a study: each model's representative fit and the pooled residuals of the last windows; n is the median training size.
+
+    A law a model and one pool of at most a window a symbol come to the driver.
+    """
+    laws: dict[str, Fitted | np.ndarray] = {
+        r["model"]: Fitted(r["model"], dict(r["params"]), r["center"], r["spread"], r["n_train"], 0.0) for r in representatives(history).collect()
+    }
+    last = pools.groupBy("symbol").agg(F.max_by("pool", "refit").alias("pool"))
+    values = np.concatenate([np.asarray(r["pool"], float) for r in last.collect()])
+    laws["pool"] = np.sort((values - values.mean()) / values.std())
+    return laws, int(history.agg(F.median("n_train")).first()[0])
+
+
+def expected_loss(source: Fitted | np.ndarray, q, p) -> np.ndarray:
+    """Expected pinball loss of the forecasts ``q`` for the probabilities ``p`` under a law of mean 0, or a pool.
+
+    It is p (mean - q) and the integral of the distribution function up to q, by trapezoids on ``GRID``.
+    """
+    q, p = np.asarray(q, float), np.asarray(p, float)
+    if isinstance(source, np.ndarray):
+        return p * (source.mean() - q) + np.maximum(q[:, None] - source, 0).mean(axis=1)
+    f = np.clip(source.cdf(GRID), 0, 1)
+    area = np.concatenate([[0.0], np.cumsum((f[1:] + f[:-1]) / 2 * np.diff(GRID))])
+    return np.interp(q, GRID, area) - p * q
+
+
+def truths(laws: dict[str, Fitted | np.ndarray], probs) -> dict[str, list[float]]:
+    return {d: [float(x) for x in (np.quantile(s, probs) if isinstance(s, np.ndarray) else s.ppf(list(probs)))] for d, s in laws.items()}
+
+
+def case_losses(cases: DataFrame, laws: dict[str, Fitted | np.ndarray], probs) -> DataFrame:
+    """(dgp, replication, model, excess, coverage): expected loss beyond that of the true quantiles, mean over ``probs``;
+    true probability between the outermost quantiles."""
+    probs, true = list(probs), truths(laws, probs)
+    least = {d: float(expected_loss(s, true[d], probs).mean()) for d, s in laws.items()}
+
+    def between(source, low, high):
+        if isinstance(source, np.ndarray):
+            return float(((source > low) & (source <= high)).mean())
+        return float(np.diff(source.cdf(np.array([low, high])))[0])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for dgp, rep, model, q in batch.itertuples(index=False, name=None):
+                rows.append((dgp, rep, model, float(expected_loss(laws[dgp], q, probs).mean()) - least[dgp], between(laws[dgp], q[0], q[-1])))
+            yield pd.DataFrame(rows, columns=["dgp", "replication", "model", "excess", "coverage"])
+
+    good = cases.where("status = 'success'").select("dgp", "replication", "model", "quantiles")
+    return good.mapInPandas(run, "dgp string, replication int, model string, excess double, coverage double")
+
+
+def recovery(cases: DataFrame, laws: dict[str, Fitted | np.ndarray]) -> DataFrame:
+    """Bias and RMSE of each parameter where the model is the law that was drawn from, and rates of failed fits."""
+    true = [(d, k, float(v)) for d, s in laws.items() if not isinstance(s, np.ndarray) for k, v in s.params.items()]
+    known = cases.sparkSession.createDataFrame(true, "dgp string, parameter string, truth double")
+    own = cases.where("model = dgp")
+    found = own.where("status = 'success'").select("dgp", F.explode("params").alias("parameter", "value")).join(F.broadcast(known), ["dgp", "parameter"])
+    err = F.col("value") - F.col("truth")
+    stats = found.groupBy("dgp", "parameter").agg(F.count("*").alias("n"), F.avg(err).alias("bias"), F.sqrt(F.avg(err * err)).alias("rmse"))
+    failed = own.groupBy("dgp").agg(F.avg((F.col("status") == "failed").cast("double")).alias("failure_rate"))
+    return stats.join(failed, "dgp")
+
+
 def summary(cases: DataFrame, truth: DataFrame) -> DataFrame:
     """Bias and RMSE of each quantile by law and model, and efficiency against the empirical quantiles.
 
