@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_slices, cut, release, texts_of, written
+from .common import bound_batches, bounded_slices, cut, release, texts_of, written
 
 LENGTH = 400
 CROWD = 4_096
-CHUNK = 1 << 20
+CHUNK = 1 << 18  # bytes of text whose blocks are found at once
+SORTED = 1 << 19  # bytes of blocks that are sorted at once, unless one anchor has more
 COVER = (0, 1, 3)
 PERIOD = 7
 _FACTOR = 0x9E3779B97F4A7C15
@@ -128,7 +129,17 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _sample_ranks(buf: np.ndarray, words: np.ndarray, n: int, depth: int) -> np.ndarray:
+class Words:
+    """The eight bytes from any position on, as a big-endian number; gathered, so nothing is held for the others."""
+
+    def __init__(self, buf: np.ndarray):
+        self.view = np.ndarray((len(buf) - 7,), ">u8", buf, strides=(1,))
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.view[at].astype(np.uint64)
+
+
+def _sample_ranks(words: Words, n: int, depth: int) -> np.ndarray:
     """Rank of the ``depth`` bytes at every position of the cover, by doubling; index = 3 * (p // 7) + nth."""
     groups = -(-n // PERIOD)
     at = (np.arange(groups)[:, None] * PERIOD + np.array(COVER)).ravel()
@@ -159,13 +170,13 @@ def repeated_starts(blocks: list[bytes], length: int = LENGTH, bucket: int = 1 <
     n = int(size.sum())
     base = np.cumsum(size) - size
     buf = np.frombuffer(b"".join(blocks) + b"\0" * (length + 16), np.uint8)
-    words = np.ndarray((len(buf) - 7,), ">u8", buf, strides=(1,)).astype(np.uint64)
+    words = Words(buf)
     depth = (length - PERIOD + 1) // PERIOD * PERIOD
-    rank = _sample_ranks(buf, words, n, depth)
+    rank = _sample_ranks(words, n, depth)
     many = size - length + 1
-    starts = np.arange(int(many.sum())) + np.repeat(base - (np.cumsum(many) - many), many)
+    starts = (np.arange(int(many.sum())) + np.repeat(base - (np.cumsum(many) - many), many)).astype(np.uint32)
     found = np.zeros(n, bool)
-    lead = (words[starts] >> np.uint64(48)).astype(np.int64)
+    lead = (words[starts] >> np.uint64(48)).astype(np.uint16)
     order = np.argsort(lead, kind="stable")
     starts, lead = starts[order], lead[order]
     edges = np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]]))
@@ -180,8 +191,9 @@ def repeated_starts(blocks: list[bytes], length: int = LENGTH, bucket: int = 1 <
     return [found[s : s + m] for s, m in zip(base.tolist(), many.tolist())]
 
 
-def _bucket(pos: np.ndarray, words: np.ndarray, rank: np.ndarray, length: int, depth: int, found: np.ndarray) -> None:
+def _bucket(pos: np.ndarray, words: Words, rank: np.ndarray, length: int, depth: int, found: np.ndarray) -> None:
     """Sorts the suffixes of one bucket and marks those that agree with another to ``length`` bytes."""
+    pos = pos.astype(np.int64)
     group = np.zeros(len(pos), np.int64)
     for w in range(0, 32, 8):
         word = words[pos + w]
@@ -254,13 +266,13 @@ def _keyed(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def find_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(k1, k2, runs): the runs of repeated starts of each text that has any; runs are [lo, first, last, ...] lists."""
+    bound_batches(df.sparkSession)
     docs = _keyed(df, id_col, text)
 
     def blocks(batches):
-        finder = None
+        finder = Blocks(length)
         for whole in batches:
             for batch in bounded_slices(whole, "text"):
-                finder = finder or Blocks(length)
                 k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
                 for at, lo, n, anchor, c1, c2 in finder.find(texts_of(batch.column("text"))):
                     yield pa.RecordBatch.from_arrays(
@@ -268,14 +280,17 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
                         names=["anchor", "c1", "c2", "k1", "k2", "lo", "n"],
                     )
 
-    light = written(docs.mapInArrow(blocks, "anchor long, c1 long, c2 long, k1 long, k2 long, lo int, n int"), "blocks")
-    classes = light.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("members"), F.min(F.struct("k1", "k2", "lo", "n")).alias("m"))
-    shared = (
-        classes.groupBy("anchor").agg(F.sum("members").alias("all"), F.count("*").alias("kinds")).where("all > 1").select("anchor", "kinds")
-    )
-    cand = written(
-        classes.join(shared, "anchor").select("anchor", "c1", "c2", (F.col("members") > 1).alias("copied"), "kinds", "m.k1", "m.k2", "m.lo", "m.n"), "classes"
-    )
+    names = ["anchor", "c1", "c2"]
+    blocks_of = written(docs.mapInArrow(blocks, "anchor long, c1 long, c2 long, k1 long, k2 long, lo int, n int"), "blocks")
+    # most anchors are alone: only their count is shuffled, and only blocks of the others go on
+    twice = written(blocks_of.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
+    light = written(blocks_of.join(twice, "anchor"), "shared")
+    release(blocks_of, twice)
+    classes = light.groupBy(*names).agg(F.count("*").alias("members"), F.min(F.struct("k1", "k2", "lo", "n")).alias("m"))
+    classes = written(classes.select(*names, (F.col("members") > 1).alias("copied"), "m.*"), "kinds")
+    kinds = written(classes.groupBy("anchor").agg(F.count("*").alias("kinds")), "counts")
+    cand = written(classes.join(kinds, "anchor"), "classes")
+    release(classes, kinds)
     # one block of each class, of the anchors that have several
     wanted = (
         cand.where("kinds > 1")
@@ -305,7 +320,7 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
         last = None
         for batch in batches:
             for anchor, c1, c2, copied, block in zip(*(batch.column(c).to_pylist() for c in ("anchor", "c1", "c2", "copied", "block"))):
-                if anchor != last and size > CHUNK:
+                if anchor != last and size > SORTED:
                     yield flush(held)
                     held, size = {}, 0
                 last = anchor
@@ -401,7 +416,7 @@ def remove_repeats(
                 )
 
     schema = plain.schema.add("_kept", "binary").add("_removed", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
-    old = [c for c in df.columns if c not in ("kept", "removed")]
+    old = [c for c in df.columns if c not in ("kept", "removed")]  # replaced
     out = joined.mapInArrow(run, schema)
     picked = [F.col(names[df.columns.index(c)]).alias(c) for c in old]
     return out.select(*picked, F.col("_kept").alias("kept"), F.col("_removed").alias("removed"))
