@@ -60,7 +60,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two tables hold the same rows, repeats counted."""
+    """Whether two tables hold the same columns and rows, repeats counted."""
+    if sorted(a.dtypes) != sorted(b.dtypes):
+        return False
+    b = b.select(a.columns)
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
