@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns
 from tidemark.functions.families import Fitted, Law
-from tidemark.operators import calibration, simulate, volatility
+from tidemark.operators import bands, calibration, simulate, volatility
 from tidemark.plans import records, reports
 from tidemark.sources import stores
 from tidemark.sources.tables import DataError
+from tidemark.streaming import streams
 
 NORMAL = Fitted("normal", {"loc": 0.0, "scale": 1.0}, 0.0, 1.0, 0, 0.0)
 
@@ -150,3 +152,33 @@ def test_functions_over_columns(spark):
     kurt = {r.g: r.k for r in df.groupBy("g").agg(columns.excess_kurtosis("x").alias("k")).collect()}
     assert kurt[2] is None and kurt[1] == pytest.approx(-1.5, abs=0.1)
     assert columns.LawQuantiles(F.lit("normal"), law, F.lit(1.0), F.lit(2.0), F.array(F.lit(0.5), F.lit(0.9))).collect()[1].quantile == pytest.approx(1.2816, abs=1e-4)
+
+
+def test_bands_must_be_ordered_and_models_aligned(spark):
+    a = spark.createDataFrame([("s", 1, 0.5, -1.0, 1.0), ("s", 2, 0.1, -1.0, 1.0)], "symbol string, seq int, r double, q_low double, q_high double")
+    assert bands.require_ordered(a).count() == 2
+    with pytest.raises(ValueError):
+        bands.require_ordered(a.withColumn("q_high", F.when(F.col("seq") == 1, float("nan")).otherwise(1.0)))
+    assert bands.aligned(a, a, ["symbol", "seq"], ["r"]).count() == 2
+    for b in (a.where("seq = 1"), a.withColumn("r", F.col("r") + 1e-6), a.union(a)):
+        with pytest.raises(ValueError):
+            bands.aligned(a, b, ["symbol", "seq"], ["r"])
+
+
+def test_a_stream_goes_on_where_it_ended_and_counts_late_rows(spark, tmp_path):
+    def tick(i, minute, value=1.0):
+        return (i, datetime(2026, 1, 2, 9) + timedelta(minutes=minute), 1, "x", value, None)
+
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    source, name, report = f"{tmp_path}/ticks", f"t_{tmp_path.name}", {}
+    spark.createDataFrame([tick(1, 5), tick(2, 70), tick(3, 200)], schema).write.parquet(source)
+
+    def run():
+        found = streams.drain(streams.tumbling_bars(streams.read_ticks(spark, source)), name, f"file://{tmp_path}/state", report=report)
+        return sorted((r.start.hour, r.n) for r in found.collect())
+
+    first = run()
+    assert first == [(9, 1), (10, 1)]
+    assert run() == first
+    spark.createDataFrame([tick(4, 1), tick(5, 400)], schema).write.mode("append").parquet(source)
+    assert run() == [(9, 1), (10, 1), (12, 1)] and report["late"] == 1

@@ -77,6 +77,25 @@ def scored(band: DataFrame) -> DataFrame:
     )
 
 
+def require_ordered(band: DataFrame) -> DataFrame:
+    """``band``, or an error if any lower edge isn't below its upper edge."""
+    bad = band.where(~(F.col("q_low") < F.col("q_high")) | F.isnan("q_low") | F.isnan("q_high") | F.col("q_low").isNull() | F.col("q_high").isNull())
+    if n := bad.count():
+        raise ValueError(f"{n} bands are not ordered")
+    return band
+
+
+def aligned(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """One to one join of two models' rows; ``values`` of both sides must agree. Any row without a partner is an error."""
+    both = a.alias("a").join(b.alias("b"), keys, "full")
+    apart = F.greatest(*(F.abs(F.col(f"a.{v}") - F.col(f"b.{v}")) for v in values), F.lit(0.0))
+    alone = F.col(f"a.{values[0]}").isNull() | F.col(f"b.{values[0]}").isNull()
+    found = both.agg(F.count("*").alias("n"), F.countDistinct(*keys).alias("keys"), F.sum(alone.cast("long")).alias("alone"), F.sum((apart > tolerance).cast("long")).alias("apart")).first()
+    if found["n"] and (found["alone"] or found["apart"] or found["n"] != found["keys"]):
+        raise ValueError(f"not aligned: {found['alone']} rows alone, {found['apart']} values apart, {found['n'] - found['keys']} keys repeated")
+    return both
+
+
 def day_scores(score: DataFrame) -> DataFrame:
     """Additive daily records by symbol, model and level; reports are ratios of their sums."""
     return score.groupBy("symbol", "d", "day_idx", "model", "level").agg(

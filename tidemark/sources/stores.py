@@ -19,14 +19,35 @@ from pyspark.sql import functions as F
 from .tables import DataError, check_signature, write_days
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A folder that all executors share; a temporary one only on a local master."""
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``; a temporary one only on a local master."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{where.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    return f"{shared(spark)}/tidemark-{uuid.uuid4().hex}"
+
+
+def environment(spark: SparkSession) -> dict[str, str]:
+    """Versions that a result may depend on."""
+    import platform
+
+    import numpy
+    import pandas
+    import pyarrow
+
+    java = spark._jvm.java.lang.System.getProperty("java.version")
+    return {"python": platform.python_version(), "spark": spark.version, "java": java, "numpy": numpy.__version__, "pandas": pandas.__version__, "pyarrow": pyarrow.__version__}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _fs(spark, path)
+    return fs.exists(at)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -81,7 +102,7 @@ def store_days(rows: DataFrame, path: str, day: str = "d", signature: dict | Non
     fresh = sorted(now.keys() - have.keys())
     if fresh:
         write_days(rows.where(F.col(day).cast("string").isin(fresh)), f"{path}/data", day)
-    out = {"signature": signature or {}, "days": have | now, "written_at": datetime.now(UTC).isoformat(timespec="seconds")}
+    out = {"signature": signature or {}, "days": have | now, "written_at": datetime.now(UTC).isoformat(timespec="seconds"), "environment": environment(spark)}
     if fresh or held is None:
         write_json(spark, f"{path}/manifest.json", out)
     return out

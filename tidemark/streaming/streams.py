@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Study
+from ..sources import stores
 
 
 def read_ticks(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -72,23 +73,29 @@ def ewma_state(events: DataFrame, decay: float = 0.94) -> DataFrame:
     return keyed.groupBy("symbol").applyInPandasWithState(step, "symbol string, event_id long, v double", "last double, v double", "append", "NoTimeout")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns what it put out, from Parquet.
+def drain(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append", report: dict | None = None) -> DataFrame:
+    """Runs a stream over all that is there and returns what it put out so far, from Parquet.
 
-    Mode ``complete`` closes the stream: windows that the watermark has not passed come out too.
+    Every batch has a folder of its own, replaced if the batch runs again, so each of its rows is
+    there exactly once whatever fails. With a ``checkpoint`` a later call of the same ``name`` goes
+    on where the last one ended. Mode ``complete`` closes the stream: windows that the watermark has
+    not passed come out too. ``report`` gets the number of batches and of late rows that were dropped.
     """
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    folders: list[str] = []
+    base = f"{stores.shared(spark)}/tidemark-stream-{name}"
 
     def keep(rows: DataFrame, batch: int) -> None:
-        folder = f"{shared.rstrip('/')}/tidemark-stream-{name}/{'all' if mode == 'complete' else batch}"
-        rows.write.mode("overwrite").parquet(folder)
-        if folder not in folders:
-            folders.append(folder)
+        rows.write.mode("overwrite").parquet(f"{base}/batch={'all' if mode == 'complete' else batch}")
 
     writer = stream.writeStream.foreachBatch(keep).outputMode(mode).trigger(availableNow=True)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(*folders) if folders else spark.createDataFrame([], stream.schema)
+    query = writer.start()
+    query.awaitTermination()
+    if report is not None:
+        progress = [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
+        report["batches"] = len(progress)
+        report["late"] = sum(s.get("numRowsDroppedByWatermark", 0) for p in progress for s in p.get("stateOperators", []))
+    if not stores.exists(spark, base):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(base)
