@@ -1,8 +1,10 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the
-next stage's docs. All but the last return the columns of ``documents``. Part of the
-training-data operators (``tidemark/llm``).
+next stage's docs. All but the last return the columns of ``documents``, and any further columns
+with their own values, whatever their names. Null and empty texts have no words: they score like
+any text without features, lose no line, are near copies of each other, and are packed nowhere; an
+empty table gives an empty one. Part of the training-data operators (``tidemark/llm``).
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import classifier, lines, packing, simhash, suffix
-from tidemark.llm.common import scratch
+from tidemark.llm.common import release, written
 from tidemark.shipping import ship
 
 #: Bytes of a passage that the suffix stage cuts wherever it repeats; about 50 short words.
@@ -22,13 +24,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents whose chance of the top grade is below one half go."""
     ship(spark)
     model = classifier.train(docs, classifier.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return classifier.score(docs, model).where("kept").select(*docs.columns)
+    own = _apart(docs, "expected_grade", "p_top", "kept")
+    return classifier.score(own, model).where("kept").select(*own.columns).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are near copies of earlier lines go; documents stay."""
-    cut = lines.dedup_lines(docs)
-    return _measured(cut, F.size("removed_lines") > 0).select(*docs.columns)
+    own = _apart(docs, "removed_lines")
+    cut = lines.dedup_lines(own)
+    return _measured(cut, F.size("removed_lines") > 0).select(*own.columns).toDF(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +44,10 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur twice or more are cut out, whole characters at a time; documents stay."""
     ship(spark)
-    cut = suffix.remove_repeats(docs, length=PASSAGE_BYTES, whole_chars=True)
+    own = _apart(docs, "kept", "removed")
+    cut = suffix.remove_repeats(own, length=PASSAGE_BYTES, whole_chars=True)
     text = F.when(F.size("removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
-    return _measured(cut.withColumn("text", text), F.size("removed") > 0).select(*docs.columns)
+    return _measured(cut.withColumn("text", text), F.size("removed") > 0).select(*own.columns).toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +56,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
+def _apart(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with other names for the columns whose names an operator uses for its own."""
+    return docs.toDF(*(f"own_{i}_{c}" if c in used else c for i, c in enumerate(docs.columns)))
+
+
 def _measured(df: DataFrame, changed) -> DataFrame:
     """n_chars of the texts that changed."""
     if "n_chars" not in df.columns:
@@ -72,7 +82,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = scratch(spark, f"stage-{name.split()[0].lower()}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        done = written(stage(spark, docs, sf_dir), f"stage-{name.split()[0].lower()}")
+        release(docs)
+        docs = done
     return docs
