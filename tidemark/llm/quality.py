@@ -1,13 +1,19 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame and SQL functions only.
 
-Statistics of each whole text are computed inside its row, without a shuffle. Each rule
-rejects texts whose statistic exceeds a cutoff. On labelled good documents, for each stratum,
-rule and cutoff of a grid, the exact binomial tail P(X <= k | n, risk) for k false rejections
-among n says whether the false rejection rate is surely below the rule's share of ``risk`` (the
-same decision as an exact upper confidence bound). All tests share ``alpha`` by Bonferroni, so
-with probability 1 - alpha every stratum loses at most ``risk`` of its good documents to all
-rules together. For each stratum and rule the lowest cutoff that passes is used; where none
-passes (too few labels, say) the rule is off.
+Statistics of each whole text are computed inside its row, without a shuffle. Each rule rejects
+texts whose statistic exceeds a cutoff. The cutoffs of all rules are tightened together in a
+sequence of steps that is fixed beforehand (``STEPS``): each step lowers the cutoff of one rule,
+so the rejected texts only grow. On labelled good documents of a stratum, the exact binomial tail
+P(X <= k | n, risk) for the k of n that a step's rules reject, all rules together, says whether
+the step's false rejection rate is surely below ``risk`` (the same decision as an exact upper
+confidence bound).
+
+Multiple testing: within a stratum the steps are tested in their order until one fails, which
+needs no correction (fixed-sequence testing; the tail can't fall again, as k can't); the strata
+share ``alpha`` by Bonferroni. So with probability 1 - ``alpha`` every stratum loses at most
+``risk`` of its good documents to all rules together. The last step that passes is used. A stratum
+with too few labels for any step (86 good ones are needed at 4 strata) has no cutoffs: its rules
+are off.
 
 Three-word windows are compared by a 64-bit hash of their words within one text.
 """
@@ -21,13 +27,15 @@ from .common import cut
 
 SPACES = "' \\t\\n\\u000B\\u000C\\r'"
 SYMBOLS = "#*$%&|<>"
-#: rule -> (statistic, grid of cutoffs); a text is rejected if the statistic is above the cutoff.
+#: rule -> (statistic, grid of cutoffs, the tightest first); a text is rejected if the statistic is above the cutoff.
 RULES = {
     "symbols": ("n_symbols / n_words", (0.05, 0.1, 0.2, 0.5, 1.0)),
     "dup_lines": ("n_dup_lines / n_lines", (0.1, 0.2, 0.3, 0.5)),
     "repeats": ("n_repeat_words / n_words", (0.2, 0.3, 0.4, 0.45)),
     "long_words": ("word_chars / n_words", (7.0, 8.0, 9.0, 10.0, 12.0)),
 }
+#: (rule, cutoff) that each step adds: the rules in turn, from the loosest cutoff to the tightest
+STEPS = [(r, cs[-1 - i]) for i in range(max(len(cs) for _, cs in RULES.values())) for r, (_, cs) in RULES.items() if i < len(cs)]
 RISK = 0.05
 ALPHA = 0.05
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -86,39 +94,44 @@ def _tail(k: str, n: str, risk: float) -> str:
         s -> s.c))"""
 
 
+def _value(rule: str) -> str:
+    """SQL of a rule's statistic; 0 without a denominator."""
+    statistic = RULES[rule][0]
+    return f"IF({statistic.split(' / ')[1]} = 0, 0D, {statistic})"
+
+
 def cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
-    """(stratum, cut_<rule>...) for each stratum that has labels; null cutoffs are rules that are off."""
+    """(stratum, cut_<rule>...) for each stratum where a step passes; null cutoffs are rules that are off.
+
+    Good is a labelled id whose rows all say quality 1 and toxic 0.
+    """
     good = labels.groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).where("good").select("doc_id")
-    grid = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff")) for r, (_, cs) in RULES.items() for c in cs))
-    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN IF({e.split(' / ')[1]} = 0, 0D, {e})" for r, (e, _) in RULES.items()) + " END"
-    tests = (
-        stats.join(good, "doc_id")
-        .withColumn("_g", F.explode(grid))
-        .select("*", "_g.rule", "_g.cutoff")
-        .groupBy(stratum, "rule", "cutoff")
-        .agg(F.count("*").alias("n"), F.sum((F.expr(value) > F.col("cutoff")).cast("long")).alias("k"))
-    )
+    hits = [F.when(F.expr(_value(r)) > F.lit(float(c)), F.lit(t)) for t, (r, c) in enumerate(STEPS)]
+    step = F.least(*hits)  # the first that rejects the text
+    lost = F.array(*(F.struct(F.lit(t).alias("step"), F.sum((F.coalesce("_step", F.lit(len(STEPS))) <= t).cast("long")).alias("k")) for t in range(len(STEPS))))
+    tests = stats.join(good, "doc_id").withColumn("_step", step).groupBy(stratum).agg(F.count("*").alias("n"), lost.alias("_t"))
     tests = cut(tests)
-    many = max(1, tests.count())
-    passed = tests.where(F.expr(_tail("k", "n", risk / len(RULES))) <= alpha / many)
-    least = [F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES]
-    return passed.groupBy(stratum).agg(*least)
+    strata = max(1, tests.count())
+    passed = tests.select(stratum, "n", F.explode("_t").alias("_t")).select(stratum, "n", "_t.*").where(F.expr(_tail("k", "n", risk)) <= alpha / strata)
+    last = passed.groupBy(stratum).agg(F.max("step").alias("_last"))
+    used = {r: [t for t, (x, _) in enumerate(STEPS) if x == r] for r in RULES}
+    cuts = [F.least(*(F.when(F.col("_last") >= t, F.lit(float(STEPS[t][1]))) for t in used[r])).alias(f"cut_{r}") for r in RULES]
+    return last.select(stratum, *cuts)
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
     """(doc_id, stratum, statistics, base_failed, kept): one row for each row of ``docs``.
 
     base_failed: fewer than 50 words, or over half of them in repeated three-word windows. A
-    null stratum is a stratum of its own. Null ids are judged but never count as labelled.
+    null stratum is a stratum of its own. Null ids are judged but never count as labelled. Repeated
+    rows are judged, and count, each. Without rows, or without labels, no rule but the base is on.
     """
     stats = cut(statistics(docs.select("doc_id", F.col(stratum).alias("stratum"), F.col(text).alias("text")), "text").drop("text"))
     cuts = cut(cutoffs(stats, labels, "stratum").withColumnRenamed("stratum", "_stratum"))
     side = F.broadcast(cuts) if cuts.count() <= _BROADCAST_ROWS else cuts
     joined = stats.join(side, F.col("stratum").eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    over = [
-        F.coalesce(F.expr(f"IF({e.split(' / ')[1]} = 0, 0D, {e})") > F.col(f"cut_{r}"), F.lit(False)) for r, (e, _) in RULES.items()
-    ]
+    over = [F.coalesce(F.expr(_value(r)) > F.col(f"cut_{r}"), F.lit(False)) for r in RULES]
     rejected = over[0]
     for o in over[1:]:
         rejected = rejected | o
@@ -133,9 +146,9 @@ def op10_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    grid = ", ".join(f"('{r}', {float(c)!r}::DOUBLE)" for r, (_, cs) in RULES.items() for c in cs)
-    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN (CASE WHEN {e.split(' / ')[1]} = 0 THEN 0 ELSE {e} END)" for r, (e, _) in RULES.items()) + " END"
-    risk = RISK / len(RULES)
+    plain = {r: f"(CASE WHEN {e.split(' / ')[1]} = 0 THEN 0 ELSE {e} END)" for r, (e, _) in RULES.items()}
+    step = "least(" + ", ".join(f"CASE WHEN {plain[r]} > {float(c)!r} THEN {t} END" for t, (r, c) in enumerate(STEPS)) + ")"
+    cuts = {r: "least(" + ", ".join(f"CASE WHEN last >= {t} THEN {float(c)!r} END" for t, (x, c) in enumerate(STEPS) if x == r) + ")" for r in RULES}
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, string_split(t, chr(10)) AS ls FROM d),
@@ -150,19 +163,18 @@ s AS (
          (len(l.ls) - len(list_distinct(l.ls)))::BIGINT AS n_dup_lines, coalesce(rw.n, 0)::BIGINT AS n_repeat_words
   FROM d JOIN w USING (rid) JOIN l USING (rid) LEFT JOIN rw USING (rid)
 ), good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING bool_and(quality = 1 AND toxic = 0)),
+first AS (SELECT lang, {step} AS step FROM s JOIN good USING (doc_id)),
 tests AS (
-  SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER ({value} > cutoff) AS k
-  FROM s JOIN good USING (doc_id), (VALUES {grid}) c(rule, cutoff) GROUP BY ALL
+  SELECT lang, t, count(*) AS n, count(*) FILTER (step <= t) AS k FROM first, (SELECT unnest(range({len(STEPS)})) AS t) GROUP BY ALL
 ), p AS (
-  SELECT lang, rule, cutoff, CASE WHEN k > n * {risk!r} THEN 1 ELSE list_sum(list_transform(range(k + 1),
-         lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk!r}) + (n - j) * ln({1 - risk!r})))) END AS tail FROM tests
-), cuts AS (
-  SELECT lang, {", ".join(f"min(cutoff) FILTER (rule = '{r}') AS cut_{r}" for r in RULES)}
-  FROM p WHERE tail <= {ALPHA!r} / (SELECT count(*) FROM tests) GROUP BY lang
-), j AS (SELECT s.*, cuts.* EXCLUDE (lang), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
-         FROM s LEFT JOIN cuts ON s.lang IS NOT DISTINCT FROM cuts.lang)
+  SELECT lang, t, CASE WHEN k > n * {RISK!r} THEN 1 ELSE list_sum(list_transform(range(k + 1),
+         lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK!r}) + (n - j) * ln({1 - RISK!r})))) END AS tail FROM tests
+), last AS (SELECT lang, max(t) AS last FROM p WHERE tail <= {ALPHA!r} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM first)) GROUP BY lang),
+cuts AS (SELECT lang, {", ".join(f"{cuts[r]} AS cut_{r}" for r in RULES)} FROM last),
+j AS (SELECT s.*, cuts.* EXCLUDE (lang), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+      FROM s LEFT JOIN cuts ON s.lang IS NOT DISTINCT FROM cuts.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT ({" OR ".join(f"coalesce((CASE WHEN {e.split(' / ')[1]} = 0 THEN 0 ELSE {e} END) > cut_{r}, false)" for r, (e, _) in RULES.items())}) AS kept
+       NOT base_failed AND NOT ({" OR ".join(f"coalesce({plain[r]} > cut_{r}, false)" for r in RULES)}) AS kept
 FROM j
 """
 
