@@ -1,7 +1,7 @@
 """URL allow and block lists held in a trie over reversed host labels, then path segments.
 
-The trie is built on the driver from the given rules (a bounded list; ``max_rules`` is
-checked) and broadcast. A url walks its host labels from the right; at each node that ends
+The trie is built on the driver from the given rules (a bounded list; their number and that of
+the trie's nodes are checked) and broadcast. A url walks its host labels from the right; at each node that ends
 some rule's host, the node's path trie is walked over whole segments, with a final partial
 segment matched as a string prefix. The longest match wins: most host labels, then the
 longest path. At one equal rule given both ways, block wins.
@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: (host, path, verdict) of the registered query.
 RULES = (
     ("com", "/en/", "block"),
@@ -24,27 +26,39 @@ RULES = (
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
-def build_trie(rules, max_rules: int = 1_000_000) -> dict:
+def build_trie(rules, max_rules: int = 1_000_000, max_nodes: int = 400_000) -> dict:
     """Nested dicts: host label -> node; node[""] is the path trie of the host that ends there.
 
     A path trie node maps a segment to its child; under the key None it has (prefix, rule,
-    verdict) entries, the prefix being the rule's last, possibly partial, segment.
+    verdict) entries, the prefix being the rule's last, possibly partial, segment. A node takes
+    some 250 bytes besides its label, so the trie is about 100 MB at most; more is an error.
     """
     rules = list(rules)
     if len(rules) > max_rules:
         raise ValueError(f"{len(rules)} rules; the broadcast trie is bounded by {max_rules}")
     root: dict = {}
+    left = max_nodes
+
+    def child(node: dict, label: str) -> dict:
+        nonlocal left
+        if label not in node:
+            left -= 1 + len(label) // 250
+            if left < 0:
+                raise ValueError(f"the broadcast trie is bounded by {max_nodes} nodes")
+            node[label] = {}
+        return node[label]
+
     for host, path, verdict in rules:
         if verdict not in ("allow", "block"):
             raise ValueError(f"verdict {verdict!r}")
         host = host.translate(_LOWER)
         node = root
         for label in reversed(host.split(".")):
-            node = node.setdefault(label, {})
-        here = node.setdefault("", {})
+            node = child(node, label)
+        here = child(node, "")
         *whole, last = path.split("/")
         for segment in whole:
-            here = here.setdefault(segment, {})
+            here = child(here, segment)
         ends = here.setdefault(None, [])
         if old := [e for e in ends if e[0] == last]:
             if verdict == "allow" or old[0][2] == "block":
@@ -97,8 +111,9 @@ def filter_urls(df: DataFrame, rules=RULES, url: str = "url", default: str = "al
     """Adds host, path, rule and verdict to ``df`` (in place of columns of these names).
 
     Null urls and urls without ``://`` have an empty host and path, so no rule fits and they
-    get ``default``. Rows are neither dropped nor merged.
+    get ``default``. Rows are neither dropped nor merged; an empty table gives an empty one.
     """
+    bound_batches(df.sparkSession)
     if default not in ("allow", "block"):
         raise ValueError(f"default {default!r}")
     new = ["host", "path", "rule", "verdict"]
