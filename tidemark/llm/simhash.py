@@ -9,25 +9,25 @@ its own codeword alone and that of even weight by the codewords of itself and of
 neighbours (1 to 6 codewords), so words at distance 0 or 1 always share a key. A bucket is
 a pair of segments with a pair of 12-bit codeword indices. Buckets are joined by sorting
 and every candidate is verified on the full fingerprints. A bucket yields a spanning
-forest of its links, never all pairs.
+forest of its links, never all pairs; a crowded one is split by the remaining segment.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_slices, component_labels, connected_components, cut, release, texts_of, written, xxh64_ranges
+from .common import BATCH_ROWS, bound_batches, bounded_slices, component_labels, connected_components, cut, release, shingle_hashes, texts_of, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 _GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1, the Golay code's generator polynomial
-_BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
+_BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.float64)
 
 
 def fingerprints(df: DataFrame, text: str = "text", k: int = 3, seed: int = 42) -> DataFrame:
@@ -36,12 +36,14 @@ def fingerprints(df: DataFrame, text: str = "text", k: int = 3, seed: int = 42)
     Words are maximal runs without ASCII white space, A-Z lower-cased. A shingle is its words
     joined by one space, repeats counted; with fewer than k words it is the whole sequence. A
     bit is 1 if it is set in over half of the shingles' XXH64 values. Null or wordless texts
-    have fingerprint 0. Other columns pass through, whatever their names.
+    have fingerprint 0. Other columns pass through, whatever their names, but for one called
+    ``fingerprint``, which is replaced. A text of any length takes bounded memory besides its own.
     """
+    bound_batches(df.sparkSession)
+    df = df.drop("fingerprint") if text != "fingerprint" else df
     keep = [f"c{i}" for i in range(len(df.columns))]
     plain = df.toDF(*keep)
-    at = keep[df.columns.index(text)]
-    own = plain.withColumn("_t", F.col(at))
+    own = plain.withColumn("_t", F.col(keep[df.columns.index(text)]))
 
     def run(batches):
         for batch in batches:
@@ -55,15 +57,28 @@ def fingerprints(df: DataFrame, text: str = "text", k: int = 3, seed: int = 42)
 
 
 def _fingerprint(texts: list[bytes], k: int, seed: int) -> np.ndarray:
-    words = Words(texts)
-    doc, start, end = words.shingles(k)
-    hashes = xxh64_ranges(words.buf, start, end, seed)
-    big_endian = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     n = len(texts)
-    codes = (doc * 2048)[:, None] + np.arange(0, 2048, 256) + big_endian
-    ones = np.bincount(codes.ravel(), minlength=n * 2048).reshape(n, 8, 256) @ _BYTE_BITS
-    total = np.bincount(doc, minlength=n)
-    bits = (2 * ones.reshape(n, 64) > total[:, None]).astype(np.uint8)
+    ones, total = np.zeros((n, 64)), np.zeros(n, np.int64)
+    for doc, hashes in shingle_hashes(texts, k, seed):
+        _count_bits(doc, hashes, ones, total)
+    return _majority(ones, total)
+
+
+def _count_bits(doc: np.ndarray, hashes: np.ndarray, ones: np.ndarray, total: np.ndarray) -> None:
+    """Adds up, for each text, the hashes that have each bit set, and all its hashes."""
+    if not len(doc):
+        return
+    low = int(doc[0])
+    n = int(doc[-1]) - low + 1
+    base = (doc - low) * 256
+    for j, byte in enumerate(hashes.astype(">u8").view(np.uint8).reshape(-1, 8).T):
+        seen = np.bincount(base + byte, minlength=n * 256).reshape(n, 256)
+        ones[low : low + n, 8 * j : 8 * j + 8] += seen @ _BYTE_BITS
+    total[low : low + n] += np.bincount(doc - low, minlength=n)
+
+
+def _majority(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
+    bits = (2 * ones > total[:, None]).astype(np.uint8)
     return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
@@ -209,46 +224,101 @@ def _links(key: np.ndarray, f: np.ndarray, distance: int) -> tuple[np.ndarray, n
     return nodes[label[moved]], nodes[moved]
 
 
-def near_edges(distinct: DataFrame, distance: int = 3) -> DataFrame:
-    """Links (a, b) among a column ``fingerprint`` of distinct longs, thinned to spanning forests."""
+def sub_keys(key: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Four finer keys of each row of a bucket, a row each: a quarter of the segment that the bucket leaves out.
+
+    That segment differs in at most 3 bits between linked fingerprints, so one quarter is equal.
+    """
+    out = np.empty((len(key), 4), np.int64)
+    for n, pair in enumerate(PAIRS):
+        at = np.flatnonzero(key >> 24 == n)
+        start, width = SEGMENTS[3 - sum(pair)]
+        edges = [width * q // 4 for q in range(5)]
+        for q in range(4):
+            part = (f[at] >> np.uint64(start + edges[q])).astype(np.int64) & ((1 << (edges[q + 1] - edges[q])) - 1)
+            out[at, q] = (key[at].astype(np.int64) << 8) | (q << 6) | part
+    return out
+
+
+def near_edges(distinct: DataFrame, distance: int = 3, crowd: int = 4_096) -> DataFrame:
+    """Edges (a, b) that span the components of links among a column ``fingerprint`` of distinct longs.
+
+    A bucket of over ``crowd`` fingerprints is not linked in one piece: its rows are dealt again by
+    the quarters of the segment that the bucket leaves out, so no link is lost.
+    """
     if not 0 <= distance <= 3:
         raise ValueError("the keys cover distances 0 to 3")
+    bound_batches(distinct.sparkSession)
 
     def expand(batches):
         for batch in batches:
             f = batch.column(0).to_numpy().view(np.uint64)
             for s in range(0, len(f), 20_000):
                 rows, keys = bucket_keys(f[s : s + 20_000])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.astype(np.int32)), pa.array(f[s : s + 20_000][rows].view(np.int64))], names=["key", "f"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(f[s : s + 20_000][rows].view(np.int64))], names=["key", "f"])
 
-    def scan(batches):
-        """Rows come sorted by key; a bucket may span batches."""
-        held_k, held_f = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+    def finer(batches):
         for batch in batches:
-            k = np.concatenate([held_k, batch.column(0).to_numpy()])
-            f = np.concatenate([held_f, batch.column(1).to_numpy().view(np.uint64)])
-            if not len(k):
-                continue
-            done = int(np.searchsorted(k, k[-1]))
-            held_k, held_f = k[done:], f[done:]
-            if done:
-                a, b = _links(k[:done], f[:done], distance)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-        if len(held_k):
-            a, b = _links(held_k, held_f, distance)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-    keys = distinct.select("fingerprint").mapInArrow(expand, "key int, f long")
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "a long, b long")
-
-
-def _shingle_sets(texts: list[bytes], k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, hash) of every distinct shingle, ascending, and the number and the key of each text's set."""
-    words = Words(texts)
-    doc, start, end = words.shingles(k)
-    hashes = xxh64_ranges(words.buf, start, end, seed)
+            key, f = (batch.column(c).to_numpy() for c in ("key", "a"))
+            yield pa.RecordBatch.from_arrays([pa.array(sub_keys(key, f.view(np.uint64)).ravel()), pa.array(np.repeat(f, 4))], names=["key", "f"])
+
+    def scan(most):
+        """Rows come sorted by key, and a bucket may span batches. Links (key null), or the rows of buckets of over ``most``."""
+
+        def out(a, b, key=None):
+            cols = [pa.array(x.view(np.int64)) for x in (a, b)] + [pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)]
+            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "key"])
+
+        def found(k, f, crowded):
+            edges = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+            size = np.diff(edges)
+            large = np.repeat(size > most, size) | (k == crowded)
+            if large.any():
+                yield out(f[large], f[large], k[large])
+            yield out(*_links(k[~large], f[~large], distance))
+
+        def run(batches):
+            held_k, held_f, crowded = np.zeros(0, np.int64), np.zeros(0, np.uint64), -1
+            for batch in batches:
+                k = np.concatenate([held_k, batch.column(0).to_numpy()])
+                f = np.concatenate([held_f, batch.column(1).to_numpy().view(np.uint64)])
+                if not len(k):
+                    continue
+                done = int(np.searchsorted(k, k[-1]))
+                if len(k) - done > most:
+                    last, done = int(k[-1]), len(k)
+                else:
+                    last = -1 if k[-1] != crowded else crowded
+                if done:
+                    yield from found(k[:done], f[:done], crowded)
+                held_k, held_f = k[done:], f[done:]
+                crowded = last if last >= 0 else crowded
+            if len(held_k):
+                yield from found(held_k, held_f, crowded)
+
+        return run
+
+    def dealt(rows: DataFrame, most: float) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(scan(most), "a long, b long, key long")
+
+    keys = distinct.select("fingerprint").mapInArrow(expand, "key long, f long")
+    first = cut(dealt(keys, crowd))
+    links, rest = first.where("key is null").select("a", "b"), first.where("key is not null")
+    if rest.limit(1).isEmpty():
+        return links
+    return links.union(dealt(rest.mapInArrow(finer, "key long, f long"), math.inf).select("a", "b"))
+
+
+def _shingle_sets(texts: list[bytes], k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, hash) of every distinct shingle, ascending; the number and the key of each text's set; its fingerprint."""
+    docs, all_hashes = [], []
+    ones, total = np.zeros((len(texts), 64)), np.zeros(len(texts), np.int64)
+    for doc, hashes in shingle_hashes(texts, k, seed):
+        _count_bits(doc, hashes, ones, total)
+        docs.append(doc)
+        all_hashes.append(hashes)
+    doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    hashes = np.concatenate(all_hashes) if docs else np.zeros(0, np.uint64)
     order = np.lexsort((hashes, doc))
     doc, hashes = doc[order], hashes[order]
     fresh = np.ones(len(doc), bool)
@@ -257,64 +327,130 @@ def _shingle_sets(texts: list[bytes], k: int, seed: int) -> tuple[np.ndarray, np
     n = np.bincount(doc, minlength=len(texts))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes, dtype=np.uint64)])
     ends = np.cumsum(n)
-    return doc, hashes, n, sums[ends] - sums[ends - n]
+    return doc, hashes, n, sums[ends] - sums[ends - n], _majority(ones, total)
+
+
+HOT = 64
+_SLOTS = 26  # a bitmap of 2^26 bits marks hot shingles: 8 MB, whatever the table
+_SENT_ROWS = 400_000
+
+
+def _prefix(n):
+    """Shingles of a set of n of which a similar set must hold one (0.8 n or more are shared)."""
+    return n - (4 * n + 4) // 5 + 1
+
+
+def _hot_shingles(seen: DataFrame) -> np.ndarray:
+    """A bitmap of the slots of tokens that ``seen`` holds more than ``HOT`` times: 2^20 words at most come to the driver."""
+    hot = seen.groupBy("token").count().where(F.col("count") > HOT).select(F.col("token").bitwiseAND(F.lit((1 << _SLOTS) - 1)).alias("slot"))
+    word = hot.groupBy(F.shiftright("slot", 6).cast("int").alias("word"))
+    rows = word.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (_SLOTS - 6), np.uint64)
+    bitmap[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return bitmap
 
 
 def similar_edges(df: DataFrame, text: str = "text", k: int = 5, seed: int = 42) -> DataFrame:
     """Links (a, b) of fingerprints of texts whose sets of k-word shingles have a Jaccard of 0.8 or more.
 
-    Exact but for 64-bit hashes; thinned, but with the same components. Sets are ordered by hash,
-    and two similar ones share a shingle among the first n - ceil(0.8 n) + 1 of each. A bucket of
-    such a shingle first meets its least set only; then only sets that are not yet in one
-    component meet each other. Wordless texts take no part.
+    Exact but for 64-bit hashes; thinned, but with the same components. Wordless texts take no part.
+
+    * Shingles are ordered by whether they are hot (in over ``HOT`` sets, as counted over all sets'
+      early shingles), then by hash; two similar sets share one among the first n - ceil(0.8 n) + 1
+      of each. So a passage that many texts hold only counts where nearly the whole text is such.
+    * The sets of a shingle meet if they pass the length and positional filters. A pair's shared
+      shingles are counted over all shingles first, and what the rest could still add must reach
+      the overlap. The few pairs that stay are verified on their whole sets.
+    * In buckets of over ``HOT`` sets each set first meets the least one only, and any set the least
+      of its other partners; then only pairs that are not yet in one component are verified.
     """
+    spark = df.sparkSession
+    bound_batches(spark)
     own = df.select(F.col(text).alias("_t"))
 
     def parts(batches):
         for batch in batches:
             for part in bounded_slices(batch, "_t"):
-                texts = texts_of(part.column("_t"))
-                yield texts, *_shingle_sets(texts, k, seed)
+                yield _shingle_sets(texts_of(part.column("_t")), k, seed)
+
+    def place(doc, n):
+        return np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
 
     def name(batches):
-        for texts, _, _, n, c in parts(batches):
-            f, some = _fingerprint(texts, k, seed), n > 0
+        for _, _, n, c, f in parts(batches):
+            some = n > 0
             yield pa.RecordBatch.from_arrays([pa.array(c[some].view(np.int64)), pa.array(f[some].view(np.int64))], names=["c", "f"])
 
+    def early(batches):
+        for doc, h, n, _, _ in parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(h[place(doc, n) < 3 * _prefix(n[doc]) // 2 + 8].view(np.int64))], names=["token"])
+
+    bitmap = spark.sparkContext.broadcast(_hot_shingles(own.mapInArrow(early, "token long")))
+
     def post(batches):
-        for _, doc, h, n, c in parts(batches):
-            pos = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
-            doc, h, pos = (x[pos < n[doc] - (4 * n[doc] + 4) // 5 + 1] for x in (doc, h, pos))
-            cols = [h.view(np.int64), c[doc].view(np.int64), n[doc].astype(np.int32), pos.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "c", "n", "pos"])
+        bits = bitmap.value
+        for doc, h, n, c, _ in parts(batches):
+            slot = (h & np.uint64((1 << _SLOTS) - 1)).astype(np.int64)
+            hot = (bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+            order = np.argsort(2 * doc + hot, kind="stable")
+            doc, h, hot = doc[order], h[order], hot[order]
+            pos = place(doc, n)
+            first = pos < _prefix(n[doc])
+            doc, h, hot, pos = doc[first], h[first], hot[first], pos[first]
+            own_c = c[doc].view(np.int64)
+            cols = [h.view(np.int64), np.where(hot > 0, 1 + own_c % 61, 0).astype(np.int32), own_c, n[doc].astype(np.int32), pos.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["token", "salt", "c", "n", "pos"])
 
     def whole(batches):
-        for _, _, h, n, c in parts(batches):
+        for _, h, n, c, _ in parts(batches):
             at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(h.view(np.int64)))], names=["c", "keys"])
 
-    def shared(batches):
-        """Rows come sorted by token, then set; of a token's rows those of two sets or more stay."""
-        held = None
-
-        def several(rows):
-            t, c = rows.column("token").to_numpy(), rows.column("c").to_numpy()
-            first = np.ones(len(t), bool)
-            first[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-            rows, t = rows.filter(pa.array(first)), t[first]
-            _, at, size = np.unique(t, return_inverse=True, return_counts=True)
-            return rows.append_column("size", pa.array(size[at].astype(np.int32))).filter(pa.array(size[at] > 1)).combine_chunks()
+    def meet(batches):
+        """Rows come sorted by token, salt and set. Pairs of small buckets (token null), rows of large ones (other null)."""
+        names = ["token", "salt", "c", "n", "pos"]
+        held = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int32, np.int32)]
+
+        def batch_of(token, c, n, other, m, pos):
+            null = lambda x: np.full(len(c), x is None)
+            cols = [pa.array(np.zeros(len(c), np.int64) if x is None else x, t, mask=null(x)) for x, t in zip((token, c, n, other, m, pos), _MET_TYPES)]
+            return pa.RecordBatch.from_arrays(cols, names=["token", "c", "n", "other", "m", "pos"])
+
+        def found(token, salt, c, n, pos):
+            fresh = np.ones(len(token), bool)  # copies
+            fresh[1:] = (token[1:] != token[:-1]) | (c[1:] != c[:-1])
+            token, salt, c, n, pos = (x[fresh] for x in (token, salt, c, n, pos))
+            heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            size = np.diff(np.append(heads, len(token)))
+            large = np.repeat((np.maximum.reduceat(salt, heads) > 0) | (size > HOT), size)
+            size = np.repeat(size, size)
+            yield batch_of(token[large], c[large], n[large], None, None, pos[large])
+            small = ~large & (size > 1)
+            token, c, n, pos = (x[small] for x in (token, c, n, pos))
+            for d in range(1, HOT):
+                if d >= len(token) or not (same := np.flatnonzero(token[d:] == token[:-d])).size:
+                    break
+                a, b = same, same + d
+                na, nb, ia, ib = (x.astype(np.int64) for x in (n[a], n[b], pos[a], pos[b]))
+                least = 4 * (na + nb)
+                near = (9 * np.minimum(na, nb) >= least) & (9 * (np.minimum(ia, ib) + np.minimum(na - ia, nb - ib)) >= least)
+                a, b = a[near], b[near]
+                yield batch_of(None, c[a], n[a], c[b], n[b], None)
 
         for batch in batches:
-            new = pa.Table.from_batches([batch])
-            held = new if held is None else pa.concat_tables([held, new]).combine_chunks()
-            t = held.column("token").to_numpy()
-            done = int(np.searchsorted(t, t[-1])) if len(t) else 0
+            rows = [np.concatenate([h, batch.column(x).to_numpy()]) for h, x in zip(held, names)]
+            token = rows[0]
+            if not len(token):
+                continue
+            done = int(np.searchsorted(token, token[-1]))
+            if not done and len(token) > 4 * BATCH_ROWS:  # let a large bucket go; the salt of the row that is held marks the others
+                done = len(token) - 1
+                rows[1] = np.maximum(rows[1], 1)
+            held = [x[done:] for x in rows]
             if done:
-                yield from several(held.slice(0, done)).to_batches()
-                held = held.slice(done)
-        if held is not None and held.num_rows:
-            yield from several(held).to_batches()
+                yield from found(*(x[:done] for x in rows))
+        if len(held[0]):
+            yield from found(*held)
 
     a, b = (lambda x: F.col(f"a.{x}")), (lambda x: F.col(f"b.{x}"))
     least = 4 * (a("n") + b("n"))
@@ -322,34 +458,52 @@ def similar_edges(df: DataFrame, text: str = "text", k: int = 5, seed: int = 42)
 
     def similar(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.distinct())
+        if pairs.isEmpty():
+            return pairs.toDF("a", "b")
         used = cut(pairs.select("c").union(pairs.select("other")).distinct())
-        sent = F.broadcast(used) if used.count() <= 400_000 else used
+        sent = F.broadcast(used) if used.count() <= _SENT_ROWS else used
         sets = written(own.mapInArrow(whole, "c long, keys array<long>").join(sent, "c").dropDuplicates(["c"]), "shingles")
         both = pairs.join(sets.toDF("c", "kc"), "c").join(sets.toDF("other", "ko"), "other")
         overlap = F.size(F.array_intersect("kc", "ko"))
-        found = cut(both.where(9 * overlap >= 4 * (F.size("kc") + F.size("ko"))).select(F.col("c").alias("a"), F.col("other").alias("b")))
+        links = cut(both.where(9 * overlap >= 4 * (F.size("kc") + F.size("ko"))).select(F.col("c").alias("a"), F.col("other").alias("b")))
         release(sets)
-        return found
+        return links
 
     named = cut(own.mapInArrow(name, "c long, f long").distinct())
-    schema = "token long, c long, n int, pos int"
-    posts = own.mapInArrow(post, schema).repartition("token").sortWithinPartitions("token", "c")
-    posts = written(posts.mapInArrow(shared, schema + ", size int"), "posts")
-    lead = posts.groupBy("token").agg(F.min(F.struct("c", "n", "pos")).alias("o")).select("token", "o.*")
-    star = posts.alias("a").join(lead.alias("b"), "token").where((a("c") != b("c")) & possible)
-    links = similar(star.select(b("c").alias("c"), a("c").alias("other")))
+    posts = own.mapInArrow(post, "token long, salt int, c long, n int, pos int")
+    met = posts.repartition("token", "salt").sortWithinPartitions("token", "salt", "c").mapInArrow(meet, _MET)
+    met = written(met, "met")
+    crowd = met.where("other is null").select("token", "c", "n", "pos")
+    counted = met.where("token is null").groupBy("c", "other", "n", "m").agg(F.count("*").alias("shared"))
+    some = cut(crowd.select("c").distinct()).withColumn("some", F.lit(True))  # sets whose shared shingles are not all counted
+    marked = counted.join(some, "c", "left").join(some.toDF("other", "some_too"), "other", "left")
+    beyond = F.greatest(F.expr("n - (n - ceil(n * 4 / 5) + 1)"), F.expr("m - (m - ceil(m * 4 / 5) + 1)"))
+    enough = 9 * (F.col("shared") + beyond) >= 4 * (F.col("n") + F.col("m"))
+    likely = cut(marked.where(enough | F.col("some") | F.col("some_too")).select("c", "other"))
+    lead = cut(crowd.groupBy("token").agg(F.min(F.struct("c", "n", "pos")).alias("o")).select("token", "o.*"))
+    star = crowd.alias("a").join(lead.alias("b"), "token").where((a("c") != b("c")) & possible)
+    nearest = likely.groupBy("other").agg(F.min("c").alias("c"))
+    links = similar(star.select(F.least(a("c"), b("c")).alias("c"), F.greatest(a("c"), b("c")).alias("other")).union(nearest.select("c", "other")))
     comps = connected_components(links)
-    # a bucket of two has met already
-    open_ = posts.where("size > 2").join(comps.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    rest = open_.alias("a").join(open_.alias("b"), "token").where((a("c") < b("c")) & (a("component") != b("component")) & possible)
-    links = links.union(similar(rest.select(a("c").alias("c"), b("c").alias("other"))))
-    release(posts)
+
+    def labelled(rows: DataFrame, key: str, out: str) -> DataFrame:
+        return rows.join(comps.toDF(key, out), key, "left").withColumn(out, F.coalesce(out, key))
+
+    rest = labelled(labelled(likely, "c", "x"), "other", "y").where("x <> y").select("c", "other")
+    open_ = labelled(crowd, "c", "x")
+    apart = open_.alias("a").join(open_.alias("b"), "token").where((a("c") < b("c")) & (a("x") != b("x")) & possible)
+    links = links.union(similar(rest.union(apart.select(a("c").alias("c"), b("c").alias("other")))))
+    release(met)
     one = named.groupBy("c").agg(F.min("f").alias("f"))
     equal = named.join(one.withColumnRenamed("f", "a"), "c").select("a", F.col("f").alias("b"))
     far = links.join(one.toDF("a", "fa"), "a").join(one.toDF("b", "fb"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     return cut(equal.union(far).where("a <> b").distinct())
 
 
+_MET = "token long, c long, n int, other long, m int, pos int"
+_MET_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+
+
 def _labelled(df: DataFrame, id_col: str, text: str, k: int, distance: int, similar: bool = False) -> DataFrame:
     """(_id, _k2, fingerprint, component_id), a row for each row; _k2 tells texts of one id apart."""
     own = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_k2"), F.col(text).alias("_text"))
@@ -382,16 +536,19 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     Null ids come last; ties (rows that share the id) go by a hash of the text, and of equal
     rows any one stays.
     """
-    found = _labelled(df, id_col, text, k, distance, similar)
+    found = cut(_labelled(df, id_col, text, k, distance, similar))
     rank = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_k2").alias("k"))
     first = found.groupBy("component").agg(F.min(rank).alias("m"))
     stay = cut(first.select(F.col("m.i").alias("_id"), F.col("m.k").alias("_k2")).distinct())
+    repeated = not found.groupBy("_id", "_k2").count().where("count > 1").limit(1).isEmpty()
     names = [f"c{i}" for i in range(len(df.columns))]
     plain = df.toDF(*names)
     i, t = names[df.columns.index(id_col)], names[df.columns.index(text)]
-    rows = plain.withColumn("_h", F.xxhash64(t)).join(stay, F.col(i).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k2")))
-    nth = F.row_number().over(W.partitionBy(i, "_h").orderBy(i))
-    return rows.withColumn("_nth", nth).where("_nth = 1").select(*names).toDF(*df.columns)
+    sent = F.broadcast(stay) if stay.count() <= _SENT_ROWS else stay
+    rows = plain.withColumn("_h", F.xxhash64(t)).join(sent, F.col(i).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k2")))
+    if repeated:  # aggregated before the shuffle, however many there are
+        rows = rows.groupBy(i, "_h").agg(F.first(F.struct(*names)).alias("_r")).select("_r.*")
+    return rows.select(*names).toDF(*df.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
