@@ -9,7 +9,7 @@ punctuation cut), hashed; and, scaled by their share among the words, the hashed
 were cut and whether the word is in capitals. Whole texts are read.
 
 The model is fitted on the driver by L-BFGS from at most ``max_rows`` labelled documents with
-the least hashes of their ids: that bound, and nothing else, limits what is gathered.
+the least hashes of their ids, one text each: that bound limits what is gathered.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Words, bounded_slices, texts_of, xxh64_ranges
+from .common import _LOWER, Words, bound_batches, bounded_slices, texts_of, xxh64_ranges
 
 BITS = 18
 MAX_ROWS = 8_000
@@ -154,9 +155,15 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, rated: DataFrame, grades: int = 3, max_rows: int = MAX_ROWS, bits: int = BITS, **kw) -> Model | None:
-    """Fits on the ``max_rows`` rated documents with the least hashes of their ids; None if there are none."""
+    """Fits on the ``max_rows`` rated documents with the least hashes of their ids; None if there are none.
+
+    Of rows that share an id the least text counts, so the fit can be repeated; null ids don't count.
+    """
+    bound_batches(docs.sparkSession)
     sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         for whole in batches:
@@ -173,7 +180,7 @@ def train(docs: DataFrame, rated: DataFrame, grades: int = 3, max_rows: int = MA
                     names=["doc_id", "grade", "col", "val"],
                 )
 
-    table = texts.mapInArrow(run, "doc_id long, grade int, col array<int>, val array<float>").toArrow()
+    table = texts.mapInArrow(run, f"doc_id {kind}, grade int, col array<int>, val array<float>").toArrow()
     if not table.num_rows:
         return None
     order = pa.compute.sort_indices(table, [("doc_id", "ascending")])
@@ -196,8 +203,10 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep_at: flo
     """Adds expected_grade, p_top (the tail probability of the top grade) and kept to ``docs``.
 
     Null, empty and wordless texts score like a text without features. Without a model
-    (nothing is rated) both numbers are null and every row is kept.
+    (nothing is rated) both numbers are null and every row is kept. Repeated rows score alike, an
+    empty table gives an empty one, and columns of the three names are replaced.
     """
+    bound_batches(docs.sparkSession)
     new = ["expected_grade", "p_top", "kept"]
     old = [c for c in docs.columns if c not in new]
     if model is None:

@@ -1,8 +1,10 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
 Texts longer than the largest length are cut into pieces of that length; nothing is left
-out. Pieces are dealt into shards of about ``shard_items`` by hash (so the number of shards
-grows with the data and no shard does), and each shard is packed on its own:
+out. Equal rows are counted before anything is shuffled and numbered. Pieces are dealt into shards
+of about ``shard_items`` by a hash of id, number, piece and length (so the number of shards grows
+with the data and no shard does, however often an id or a null repeats), and each shard is packed
+on its own:
 
 * pieces go in decreasing length to the open bin, of whatever size, with the least room that
   still holds them (best fit over all permitted sizes jointly);
@@ -16,12 +18,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 32
 ATTENTION = 32_768
+_COPIES = 10_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -89,29 +95,39 @@ def pack(
 
     Returns (id_col, piece, piece_start, piece_length, bin_id, bin_capacity, bin_used,
     bin_offset): one row a piece. A null, zero or negative length gives one row with
-    piece_length 0 and no bin. Null ids are packed like others. Ties go by id, then piece, so
-    repeated rows are interchangeable. Bin ids are unique and do not depend on partitioning.
+    piece_length 0 and no bin. Ids keep their type; null ids are packed like others. Ties go by
+    id, then piece, so repeated rows are interchangeable. Bin ids are unique and do not depend on
+    partitioning. An empty table gives an empty result; other columns of ``df`` are left out.
     """
     caps = sorted(set(int(c) for c in capacities))
     if not caps or caps[0] < 1:
         raise ValueError("capacities must be positive")
+    if shard_items > 1 << 23:
+        raise ValueError("shard_items must fit the bin ids' 24 bits")
     top = caps[-1]
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(length), F.lit(0)).cast("long").alias("n"))
-    real = rows.where("n > 0")
-    n_items = real.agg(F.sum(F.ceil(F.col("n") / top))).first()[0] or 0
+    rows = df.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(F.col(length), F.lit(0)).cast("long"), F.lit(0)).alias("n"))
+    kind = dict(rows.dtypes)["id"]
+    counted = cut(rows.groupBy("id", "n").agg(F.count("*").alias("rows")))  # lengths are counted once, copies aggregated
+    n_items = counted.agg(F.sum(F.ceil(F.col("n") / top) * F.col("rows"))).first()[0] or 0
     shards = max(1, -(-int(n_items) // shard_items))
-    pieces = real.select("id", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / top).cast("int") - 1)).alias("piece")).select(
-        "id", "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece").cast("long") * top).cast("int").alias("len")
+    # blocks of copies first, so that no array is long
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {_COPIES}"))).alias("block")
+    each = counted.select("id", "n", "rows", block).select(
+        "id", "n", F.explode(F.expr(f"sequence(block * {_COPIES}, least(rows, (block + 1) * {_COPIES}) - 1)")).alias("copy")
     )
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1)), "piece", "len"), F.lit(shards)))
-    schema = "id long, piece int, start long, len int, bin_id long, cap int, used int, off int"
+    pieces = each.where("n > 0").select("id", "n", "copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / top).cast("int") - 1)).alias("piece")).select(
+        "id", "copy", "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece").cast("long") * top).cast("int").alias("len")
+    )
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "copy", "piece", "len"), F.lit(shards))).drop("copy")
+    schema = f"id {kind}, piece int, start long, len int, bin_id long, cap int, used int, off int"
 
     def run(table: pa.Table) -> pa.Table:
-        # a null id sorts as the least
-        t = table.append_column("key", pa.compute.fill_null(table["id"], -(1 << 63)))
-        t = t.take(pa.compute.sort_indices(t, [("len", "descending"), ("key", "ascending"), ("piece", "ascending")]))
+        keys = [("len", "descending"), ("id", "ascending"), ("piece", "ascending")]
+        t = table.take(pa.compute.sort_indices(table, keys, null_placement="at_start"))
         lengths = t["len"].to_pylist()
         at, final = pack_lengths(lengths, caps, cost)
+        if len(final) > 1 << 24:
+            raise ValueError("a shard has too many bins for the ids")
         n = np.array(lengths, np.int64)
         at = np.array(at, np.int64)
         order = np.argsort(at, kind="stable")
@@ -129,10 +145,8 @@ def pack(
             }
         )
 
-    if shard_items > 1 << 23:
-        raise ValueError("shard_items must fit the bin ids' 24 bits")
     packed = pieces.groupBy("shard").applyInArrow(run, schema)
-    none = rows.where("n <= 0").selectExpr(
+    none = each.where("n = 0").selectExpr(
         "id", "0 piece", "0L start", "0 len", "cast(null as long) bin_id", "cast(null as int) cap", "cast(null as int) used", "cast(null as int) off"
     )
     return packed.unionByName(none).toDF(
