@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch
+from .common import bound_batches, cut, scratch
 
 SEPARATOR = "\r\n\r\n"
 SEGMENT_BYTES = 16_384
+_SENT_ROWS = 200_000  # of 80 bytes
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
@@ -112,9 +113,11 @@ def write_archive(
     """Writes ``pages`` (page_id, url, html; other columns are not archived) as gzipped WARC files.
 
     A null html has an empty payload; null ids and urls leave their header out. Where all ids
-    of equal payloads are null, or rows repeat the least id, each of those rows is a response.
-    An empty table writes an archive without records.
+    of equal payloads are null, or rows repeat the least id, each of those rows is a response; a
+    row with a null id beside others revisits theirs. Ids must be integers. An empty table writes
+    an archive without records.
     """
+    bound_batches(pages.sparkSession)
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
@@ -139,7 +142,12 @@ def write_archive(
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    joined = rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", "first_id")
+    first = cut(first)
+    sent = F.broadcast(first) if first.count() <= _SENT_ROWS else first
+    short = F.octet_length("payload") < min_revisit
+    fields = ["page_id", "url", "payload", "digest", "first_id"]
+    joined = rows.where(~short).join(sent, "digest", "left").select(*fields)
+    joined = joined.unionByName(rows.where(short).withColumn("first_id", F.lit(None).cast("long")).select(*fields))
     (
         joined.mapInArrow(run, "record binary")
         .select(F.col("record").cast("string").alias("value"))
@@ -339,7 +347,7 @@ def op3_warc(spark, sf_dir: str) -> DataFrame:
     again = revisits.join(seen, F.col("refers_to") == F.col("record_id"), "left").select(
         "page_id",
         "payload_bytes",
-        F.coalesce("payload_digest", "digest").alias("payload_digest"),
+        F.coalesce("payload_digest", F.raise_error(F.concat(F.lit("no response for the revisit of "), "refers_to"))).alias("payload_digest"),
         F.lit("revisit").alias("record_type"),
         F.col("refers_to_page_id").alias("refers_to"),
     )
@@ -351,7 +359,7 @@ OP3_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
 SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest,
-       CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+       CASE WHEN first_id IS NOT NULL AND first_id IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f USING (d)
 """
