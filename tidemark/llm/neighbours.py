@@ -2,8 +2,8 @@
 
 An index of k-means lists is fitted on at most ``sample`` vectors (those with the least hashes
 of their ids) and holds every vector. A query probes its nearest lists, as many as reach a share
-``target`` of the true neighbours within the sample. Within a list, vectors
-are rotated by a fixed random orthogonal matrix and read in blocks of columns: after d of D
+``target`` of the true neighbours within the sample, and more where these hold too few vectors:
+on until they hold k besides its own, or all lists. Within a list, vectors are rotated by a fixed random orthogonal matrix and read in blocks of columns: after d of D
 columns the partial distance, scaled by D / d, estimates the whole, and a candidate is
 abandoned once the hypothesis that it beats the current k-th best is rejected, that is when
 the estimate exceeds that distance by more than the factor (1 + eps / sqrt(d))^2. Survivors
@@ -30,6 +30,7 @@ MAX_LISTS = 4_096
 EPS = 2.1
 PART_ROWS = 20_000
 PART_QUERIES = 2_000
+PART_ASSIGNED = 512
 BLOCK = 16
 
 
@@ -121,7 +122,9 @@ def search(
 
     Euclidean distance in double precision; a row of the query's own id is no candidate. Vectors
     that are null, zero or not finite take no part, nor do those whose length is not the commonest
-    one. With fewer than k candidates in the probed lists, all are returned.
+    one. A query has k rows, or one for each candidate if the table has fewer. Components keep
+    their type (float or double). Ids must be integers; a null id takes no part, and rows that
+    repeat an id are candidates each. An empty table, or no queries, gives no rows.
     """
     spark = df.sparkSession
     good = usable(df, id_col, vec)
@@ -141,27 +144,39 @@ def search(
     probes = min(lists, probes_for(known, centres, k, target))
     sent = spark.sparkContext.broadcast((centres, turn))
 
-    def assign(n: int):
+    def assign(rows_of: np.ndarray | None):
+        """To the nearest list, or, given how many vectors each list holds, to all that are probed."""
+
         def run(batches):
             centres, _ = sent.value
             for batch in batches:
-                for s in range(0, batch.num_rows, 4096):
-                    part = batch.slice(s, 4096)
-                    at = nearest(_matrix(part.column("vec")), centres, n)
-                    row = np.repeat(np.arange(part.num_rows), n)
+                for s in range(0, batch.num_rows, PART_ASSIGNED):
+                    part = batch.slice(s, PART_ASSIGNED)
+                    x = _matrix(part.column("vec"))
+                    if rows_of is None:
+                        at, row = nearest(x, centres, 1)[:, 0], np.arange(len(x))
+                    else:
+                        order = nearest(x, centres, len(centres))
+                        held = np.cumsum(rows_of[order], axis=1)
+                        enough = np.minimum((held <= k).sum(axis=1) + 1, len(centres))
+                        row, place = np.nonzero(np.arange(len(centres)) < np.maximum(enough, probes)[:, None])
+                        at = order[row, place]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(at.ravel().astype(np.int32)), part.column("id").take(pa.array(row)), part.column("vec").take(pa.array(row))],
-                        names=["list", "id", "vec"],
+                        [pa.array(at.astype(np.int32)), part.column("id").take(pa.array(row)), part.column("vec").take(pa.array(row))], names=["list", "id", "vec"]
                     )
 
         return run
 
-    schema = "list int, id long, vec array<float>"
-    as_float = F.col("vec").cast("array<float>").alias("vec")
+    kind = "float" if dict(df.dtypes)[vec] == dict(queries.dtypes)[vec] == "array<float>" else "double"
+    schema = f"list int, id long, vec array<{kind}>"
+    typed = F.col("vec").cast(f"array<{kind}>").alias("vec")
     least = W.partitionBy("vec").orderBy("id")
-    distinct = good.select("id", as_float).withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= k + 1).drop("nth")
-    index = cut(distinct.mapInArrow(assign(1), schema))
-    wanted = cut(asked.select("id", as_float).mapInArrow(assign(probes), schema))
+    distinct = good.select("id", typed).withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= k + 1).drop("nth")
+    index = cut(distinct.mapInArrow(assign(None), schema))
+    rows_of = np.zeros(lists, np.int64)
+    for at, n in index.groupBy("list").count().collect():  # MAX_LISTS rows at most
+        rows_of[at] = n
+    wanted = cut(asked.select("id", typed).mapInArrow(assign(rows_of), schema))
     # at most MAX_LISTS rows
     parts = index.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("chunks"))
     blocks = wanted.groupBy("list").agg(F.ceil(F.count("*") / PART_QUERIES).cast("int").alias("blocks"))
