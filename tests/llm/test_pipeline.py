@@ -80,3 +80,45 @@ def test_run_gives_the_last_stage(spark, stages):
     assert cp.ORACLE_SQL is None
     got, want = cp.run(spark, SF), stages["best-fit packing"]
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+CLASH = ("kept", "removed_lines", "removed", "p_top", "expected_grade", "fingerprint", "k1", "c0", "_t")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    from pyspark.sql import functions as F
+
+    text = "a plain sentence of several words that is long enough to stay\nsecond line of this very text here"
+    texts = [None, "", " \n", "one", text, text, text + " more", "x" * 5000, "é 漢字 " * 300]
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)] + [(None, text, "en", "s", len(text)), (4, text, "en", "s", len(text)), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) for c in CLASH})
+
+
+@pytest.mark.parametrize("place", range(4))
+def test_stages_keep_the_columns_of_others(spark, odd, place):
+    import corpus_pipeline as cp
+
+    out = cp.STAGES[place][1](spark, odd, SF)
+    assert out.dtypes == odd.dtypes
+    rows = out.collect()
+    assert all(r[c] == f"{c}-{'null' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASH)
+    n = {0: None, 1: 12, 2: None, 3: 12}[place]
+    assert rows and (n is None or len(rows) == n)
+    if place == 2:  # one of the wordless, one of the copies, and those on their own; the longer text is 0.8 similar to the copies
+        assert sorted(r.doc_id for r in rows) == [0, 3, 4, 7, 8]
+
+
+def test_packing_stage_takes_any_table(spark, odd):
+    import corpus_pipeline as cp
+
+    rows = cp.STAGES[4][1](spark, odd, SF).collect()
+    assert sum(r.piece_length for r in rows) == sum(len((r.text or "").split()) for r in odd.collect())
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_stages_of_an_empty_table_are_empty(spark, odd, place):
+    import corpus_pipeline as cp
+
+    assert cp.STAGES[place][1](spark, odd.limit(0), SF).isEmpty()
