@@ -7,178 +7,205 @@ that line is itself removed. The join:
 * Lines with equal sets are one class, known by its earliest line; all its other lines go.
 * Tokens are ordered by rarity: words are counted over the whole corpus in 32,768 hash buckets (so
   in constant space), and a token's key is its bucket's class of frequency, then its hash, so one
-  sort of longs orders a line. Any total
-  order is exact; this one only decides how short the candidate lists are.
-* Two similar sets share a token among the first n - ceil(0.8 n) + 1 of each (prefix filter).
-  These go out by token. Inside the join a pair must pass the length filter, the prefix filter
-  for just these two lengths, the positional filter (the overlap possible around the shared
-  token's places) and a bitmap filter (128 bits of each set), all exact, so hardly any pair but
-  similar ones comes out.
-* In a crowd of variants all pairs would be quadratic, so at tokens of over ``CROWD`` classes
-  each class first meets only the token's first class. Whatever that removes needs no other
-  partner; only the others meet all earlier classes of their tokens.
-* Candidates are verified on the whole sets in integers: 9 * overlap >= 4 * (n + m).
-
-Words are compared by 58 bits of XXH64, sets by 64 bits of the hash of their words.
+  sort of longs orders a line. Any total order is exact; this one decides how short the candidate
+  lists are.
+* The keys of a line are the pairs of neighbours in that order. Of the o - 1 neighbouring pairs of
+  o shared tokens, each token that only one line has breaks at most one, so lines of n and m words
+  that are similar (9 o >= 4 (n + m)) share (n + m) / 3 - 1 keys or more. Hence the prefix filter:
+  the first shared key is among the first (2 n - m) / 3 + 1 of the one and (2 m - n) / 3 + 1 of the
+  other. A frequent token is thereby split by its neighbour, exactly.
+* Lines that share a key must pass the length filter and the positional filters (the keys, and the
+  words, that can still be shared around the common key's places). Their shared keys are counted,
+  and what lies beyond the prefixes must be able to make up the rest.
+* In a crowd of variants all pairs would be quadratic, so at keys of over ``CROWD`` classes each
+  class first meets only the key's first class. Whatever that removes needs no other partner; only
+  the others meet all earlier classes of their keys.
+* Of the lines that still have candidates, the half of the words with even hashes is compared first:
+  it may not differ by more than the whole may. The pairs that stay are verified on the whole sets
+  in integers: 9 * overlap >= 4 * (n + m), each line with the earlier one of most shared keys first,
+  and only if that one is not similar with its other candidates.
+
+Words are compared by 58 bits of XXH64, sets by 128 bits of the hashes of their words.
 """
 
 from __future__ import annotations
 
-import gc
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, release, written
+from .common import cut, number, release, written
 
 MIN_TOKENS = 5
-CROWD = 256
-_BROADCAST_NUMBERS = 400_000
+CROWD = 32
+_BROADCAST_NUMBERS = 1_000_000
 _BUCKETS = 1 << 15
-_WORDS = "array_remove(array_distinct(split(translate(lower(s), '\\t\\u000B\\u000C\\r', '    '), ' ')), '')"
-_TOKEN = "w -> shiftrightunsigned(xxhash64(w), 6)"
+
+
+def _spaced(text: str) -> str:
+    """SQL: lower case, with a space for every white space that doesn't end a line."""
+    out = f"lower({text})"
+    for c in ("\\t", "\\u000B", "\\u000C", "\\r"):
+        out = f"replace({out}, '{c}', ' ')"
+    return out
+
+
+_TOKEN = "shiftrightunsigned(xxhash64({0}), 6)"
+
+
+def _hashes(line: str) -> str:
+    """SQL: the distinct words of a line, as 58-bit hashes."""
+    return f"array_remove(array_distinct(transform(split({_spaced(line)}, ' '), w -> {_TOKEN.format('w')})), {_TOKEN.format(repr(''))})"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(k1, k2, line, _h): hashed words of every line with MIN_TOKENS words or more."""
-    split = docs.select("k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
-    sets = split.select("k1", "k2", "line", F.expr(_WORDS).alias("_w")).where(F.size("_w") >= MIN_TOKENS)
-    return sets.select("k1", "k2", "line", F.expr(f"transform(_w, {_TOKEN})").alias("_h"))
+    return docs.select("k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
 
 
 def _rarity(docs: DataFrame) -> str:
-    """SQL of a constant array: the class (binary logarithm) of the count of each bucket of words."""
-    words = docs.select(F.explode(F.split(F.expr("translate(lower(text), '\\t\\n\\u000B\\u000C\\r', '     ')"), " ")).alias("w"))
+    """SQL of a constant array: the class (binary logarithm) of the count of each bucket of words, in bits 58 on."""
+    words = docs.select(F.explode(F.split(F.expr(f"replace({_spaced('text')}, '\\n', ' ')"), " ")).alias("w"))
     counted = words.groupBy(F.expr(f"cast(shiftrightunsigned(xxhash64(w), 6) & {_BUCKETS - 1}L as int)").alias("b")).count()
     level = [0] * _BUCKETS
     for b, n in counted.collect():  # _BUCKETS rows at most
-        level[b] = min(31, n.bit_length())
+        level[b] = min(31, n.bit_length()) << 58
     return "cast(split('" + ",".join(map(str, level)) + "', ',') as array<bigint>)"
 
 
-def _with_keys(lines: DataFrame, levels: str) -> DataFrame:
-    """Replaces _h by ``keys``, the line's tokens from the rarest to the commonest."""
-    key = f"h -> shiftleft(get({levels}, cast(h & {_BUCKETS - 1}L as int)), 58) | h"
-    keyed = lines.withColumn("keys", F.sort_array(F.expr(f"transform(_h, {key})"))).drop("_h")
-    return keyed.withColumn("c", F.xxhash64("keys"))
+def _keyed(docs: DataFrame, levels: str, min_tokens: int) -> DataFrame:
+    """(k1, k2, line, c1, c2, n, keys) of every line with ``min_tokens`` words: its set, its words, the prefix of its keys."""
+    words = _lines(docs).select("k1", "k2", "line", F.expr(_hashes("s")).alias("_h")).where(F.size("_h") >= min_tokens)
+    key = f"h -> get({levels}, cast(h & {_BUCKETS - 1}L as int)) | h"
+    keyed = words.withColumn("_k", F.sort_array(F.expr(f"transform(_h, {key})"))).drop("_h")
+    keyed = keyed.withColumn("n", F.size("_k"))
+    keyed = keyed.withColumn("_p", F.expr(_prefix("n")))
+    return keyed.select(
+        "k1", "k2", "line", F.xxhash64("_k").alias("c1"), F.xxhash64(F.lit(1), "_k").alias("c2"), "n",
+        F.expr("zip_with(slice(_k, 1, _p), slice(_k, 2, _p), (x, y) -> xxhash64(x, y))").alias("keys"),
+    )
 
 
-def _forget(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffles of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _prefix(n: str) -> str:
+    """SQL: the longest prefix of keys, that for the shortest partner; fewer than 4 words are similar to equal sets only."""
+    return f"IF({n} < 4, 0, least({n} - 1, cast(floor((2 * {n} - ceil({n} * 4 / 5)) / 3) as int) + 1))"
 
 
 def _sent(df: DataFrame, numbers: int) -> DataFrame:
-    """``df`` marked for broadcast if it holds at most ``_BROADCAST_NUMBERS`` lines or ids (of 48 bytes at most each)."""
+    """``df`` marked for broadcast if it holds at most ``_BROADCAST_NUMBERS`` lines or ids (of 64 bytes at most each)."""
     return F.broadcast(df) if numbers <= _BROADCAST_NUMBERS else df
 
 
-def _possible(a: str, b: str):
-    """Whether lines a and b, which share the token at their places, may still be similar.
+_WORDS = "shiftright({0}.np, 32)"
+_PLACE = ["k1", "k2", "line"]
+
+
+def _possible():
+    """Whether lines a and b, which share the key at their places (``np``: words and place), may still be similar."""
+    n, m = (F.expr(_WORDS.format(s)) for s in "ab")
+    i, j = (F.col(f"{s}.np").bitwiseAND(F.lit((1 << 32) - 1)) for s in "ab")
+    around = F.least(i, j) + F.least(n - i, m - j)
+    return (9 * F.least(n, m) >= 4 * (n + m)) & (3 * around >= n + m) & (9 * around >= 4 * (n + m))
 
-    With o = 4/9 (n + m) the least overlap: lengths (o cannot exceed either), the prefix of
-    either for partners of just this length, the overlap possible around the token's places, and
-    the bitmaps (a bit of one that the other lacks is a token that the other lacks).
+
+def _near(a: str, b: str, words):
+    """Whether two lines of ``words`` words together may be similar, by the half of their words with even hashes.
+
+    Similar ones differ in at most a ninth of their words, so no more of this half may differ.
     """
-    col = lambda side, name: F.col(f"{side}.{name}")
-    n, m, i, j = F.abs(col(a, "n")), F.abs(col(b, "n")), col(a, "pos"), col(b, "pos")
-    least = 4 * (n + m)
-    lacks = lambda x, y: sum(F.bit_count(col(x, w).bitwiseAND(F.bitwise_not(col(y, w)))) for w in ("b1", "b2"))
-    return (
-        (9 * F.least(n, m) >= least)
-        & (9 * (n - i) >= least)
-        & (9 * (m - j) >= least)
-        & (9 * (F.least(i, j) + F.least(n - i, m - j)) >= least)
-        & (9 * (n - lacks(a, b)) >= least)
-        & (9 * (m - lacks(b, a)) >= least)
-    )
+    apart = F.size(a) + F.size(b) - 2 * F.size(F.array_intersect(a, b))
+    return 9 * apart <= words
 
 
-def similar_lines(docs: DataFrame, repeated: bool = True) -> DataFrame:
+def similar_lines(docs: DataFrame, repeated: bool = True, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(k1, k2, lines): the places of lines to remove, for documents (k1, k2, text) that lose any.
 
     ``repeated``: whether a key may occur twice (with one text).
     """
     spark = docs.sparkSession
-    levels = _rarity(docs)
-    prefix = F.slice("keys", F.lit(1), F.size("keys") - F.ceil(F.size("keys") * 4 / F.lit(5)).cast("int") + 1)
-    bits = "aggregate(keys, 0L, (a, h) -> IF(h & 64 = {0}, a | shiftleft(1L, cast(h & 63 as int)), a))"
-    keyed = _with_keys(_lines(docs), levels)
-    sized = keyed.select("k1", "k2", "line", "c", F.size("keys").alias("n"), prefix.alias("prefix"), F.expr(bits.format(0)).alias("b1"), F.expr(bits.format(64)).alias("b2"))
-    table = written(sized, "lines")
-    place = F.struct("k1", "k2", "line")
-    same = [F.first(x).alias(x) for x in ("n", "prefix", "b1", "b2")]
-    classes = written(table.groupBy("c").agg(F.min(place).alias("first"), F.count("*").alias("members"), *same), "classes")
-    _forget(spark)
-
-    def posts(rows: DataFrame) -> DataFrame:
-        return rows.select("c", F.col("first.k1").alias("k1"), "n", "b1", "b2", F.posexplode("prefix").alias("pos", "token"))
+    table = written(_keyed(docs, _rarity(docs), min_tokens), "lines")
+    place, same = F.struct(*_PLACE), ["c1", "c2"]
+    several = table.groupBy(*same).agg(F.min(place).alias("first"), F.count("*").alias("members")).where("members > 1")
+    several = written(several.select(*same, "first"), "classes")
+    copies = _sent(several, several.count())
+    once = table.join(copies, same, "left").where(F.col("first").isNull() | (F.col("first") == place))
+    posts = once.select(*_PLACE, F.col("n").cast("long").alias("n"), F.posexplode("keys").alias("pos", "key"))
+    posts = posts.select("key", *_PLACE, F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
+    posts = posts.where("key is not null")  # always; joins would ask for it, and then the same exchange served them only
+    shared = posts.withColumn("size", F.count("*").over(W.partitionBy("key"))).where("size > 1").select("key", place.alias("p"), "np", "size")
+
+    def words_of(used: DataFrame) -> DataFrame:
+        """(p, words) of the lines ``used``, and of some others: those whose hash has its bit in a bitmap of 2^26 bits.
+
+        So no text is shuffled, and what is broadcast has 2^20 rows at most.
+        """
+        slot = F.xxhash64(*_PLACE)
+        word, bit = F.shiftrightunsigned(slot, 44).alias("word"), F.expr(f"shiftleft(1L, cast(xxhash64({', '.join(_PLACE)}) & 63 as int))")
+        bitmap = cut(used.select("p.*").select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))
+        own = docs.dropDuplicates(["k1", "k2"]) if repeated else docs
+        rows = _lines(own).withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+        return written(rows.select(place.alias("p"), F.expr(_hashes("s")).alias("words")), "sets")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """The classes ``c`` of pairs (c, other) that are similar to an ``other`` that is earlier."""
-        pairs = cut(pairs.distinct())
-        named = classes.select("c", "first")
-        used = pairs.select("c").union(pairs.select("other")).distinct().join(named, "c")
-        used = cut(used)
-        per_doc = _sent(used.groupBy("first.k1", "first.k2").agg(F.collect_list(F.struct("c", "first")).alias("at")), used.count())
-        once = docs.dropDuplicates(["k1", "k2"]) if repeated else docs
-        lines = once.join(per_doc, ["k1", "k2"]).select(F.split("text", "\n", -1).alias("_l"), F.explode("at").alias("at"))
-        rows = lines.select(F.col("at.c").alias("c"), F.col("at.first").alias("first"), F.expr("get(_l, at.first.line)").alias("s"))
-        sets = written(rows.select("c", "first", F.expr(f"transform({_WORDS}, {_TOKEN})").alias("keys")), "sets")
-        _forget(spark)
-        a, b = sets.toDF("c", "fc", "kc"), sets.toDF("other", "fo", "ko")
-        both = pairs.join(a, "c").join(b, "other").where("fo < fc")
-        overlap = F.size(F.array_intersect("kc", "ko"))
-        found = cut(both.where(9 * overlap >= 4 * (F.size("kc") + F.size("ko"))).select("c").distinct())
-        release(sets)
-        _forget(spark)
-        return found
-
-    every = posts(classes)
-    crowded = cut(every.groupBy("token").count().where(F.col("count") > CROWD).select("token"))
-    _forget(spark)
-    many = crowded.count()
-    gone = spark.createDataFrame([], "c long")
-    if many:
-        heavy = written(every.join(_sent(crowded, many), "token"), "crowd")
-        lead = heavy.groupBy("token").agg(F.min(F.struct("k1", "c", "n", "pos", "b1", "b2")).alias("o")).select("token", "o.*")
-        pairs = heavy.alias("a").join(lead.alias("b"), F.col("a.token") == F.col("b.token")).where((F.col("a.c") != F.col("b.c")) & _possible("a", "b"))
-        gone = similar(pairs.select("a.c", F.col("b.c").alias("other")))
-        release(heavy)
-    # a negative size marks a class that is gone already; conditions name both sides, so that one exchange serves both
-    flagged = classes
-    if many:
-        flagged = classes.join(_sent(gone.withColumn("gone", F.lit(True)), gone.count()), "c", "left").withColumn("n", F.when(F.col("gone"), -F.col("n")).otherwise(F.col("n")))
-    dealt = posts(flagged).repartition("token")
-    later = (F.col("a.n") * F.abs("b.n") > 0) & (F.col("a.k1") >= F.col("b.k1")) & (F.col("a.c") != F.col("b.c"))
-    pairs = dealt.alias("a").join(dealt.alias("b"), (F.col("a.token") == F.col("b.token")) & later & _possible("a", "b"))
-    more = similar(pairs.select("a.c", F.col("b.c").alias("other")))
-    _forget(spark)
-    dropped = gone.union(more).distinct().withColumn("gone", F.lit(True))
-    bad = classes.select("c", "first", "members").join(dropped, "c", "left").where("gone or members > 1").select("c", "first", "gone")
-    hit = table.select("c", "k1", "k2", "line").join(bad, "c").where(F.col("gone") | (place != F.col("first")))
+        """The lines p of pairs (p, earlier) that are similar, by their whole sets."""
+        used = cut(pairs.select("p").union(pairs.select("earlier")).distinct())
+        own = cut(sets.join(_sent(used, used.count()), "p", "left_semi"))
+        both = pairs.join(own, "p").join(own.toDF("earlier", "others"), "earlier")
+        return cut(both.where(9 * F.size(F.array_intersect("words", "others")) >= 4 * (F.size("words") + F.size("others"))).select("p").distinct())
+
+    def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+        return rows.join(_sent(gone, gone.count()), "p", "left_anti")
+
+    light, crowded = shared.where(F.col("size") <= CROWD), shared.where(F.col("size") > CROWD)
+    n, m = (F.expr(_WORDS.format(s)).cast("int") for s in "ab")
+    met = light.alias("a").join(light.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.p") > F.col("b.p")) & _possible())
+    counted = met.groupBy(F.col("a.p").alias("p"), F.col("b.p").alias("earlier"), n.alias("n"), m.alias("m")).agg(F.count("*").alias("keys"))
+    # one table of counted pairs and of crowded keys, so that the keys are dealt once
+    met = written(counted.unionByName(crowded.select("key", "p", "np"), allowMissingColumns=True), "met")
+    counted, heavy = met.where("key is null").select("p", "earlier", "n", "m", "keys"), met.where("key is not null").select("key", "p", "np")
+    many = cut(heavy.groupBy("p").agg(F.count("*").alias("uncounted")))
+    beyond = F.greatest(F.expr(f"n - 1 - {_prefix('n')}"), F.expr(f"m - 1 - {_prefix('m')}"))
+    enough = 3 * (F.col("keys") + F.coalesce("uncounted", F.lit(0)) + beyond) >= F.col("n") + F.col("m") - 3
+    likely = cut(counted.join(_sent(many, many.count()), "p", "left").where(enough).select("p", "earlier", "n", "m", "keys"))
+    sets = words_of(likely.select("p").union(likely.select("earlier")).union(many.select("p")))
+    half = sets.select("p", F.expr("filter(words, w -> w & 1 = 0)").alias("half"))
+    both = likely.join(half, "p").join(half.toDF("earlier", "other"), "earlier")
+    likely = both.where(_near("half", "other", F.col("n") + F.col("m"))).select("p", "earlier", "keys")
+    crowd = written(heavy.join(half, "p"), "crowd")
+    at_key = (F.col("a.key") == F.col("b.key")) & (F.col("a.p") > F.col("b.p")) & _possible() & _near("a.half", "b.half", n + m)
+    lead = cut(crowd.groupBy("key").agg(F.min(F.struct("p", "np", "half")).alias("o")).select("key", "o.*"))
+    star = crowd.alias("a").join(lead.alias("b"), at_key).groupBy("a.p", F.col("b.p").alias("earlier")).agg(F.count("*").alias("keys"))
+    pairs = written(likely.union(star).groupBy("p", "earlier").agg(F.max("keys").alias("keys")), "pairs")
+    gone = similar(cut(pairs.groupBy("p").agg(F.max(F.struct("keys", "earlier"))["earlier"].alias("earlier"))))
+    rest = without(pairs, gone).select("p", "earlier")
+    if not many.isEmpty():
+        rest = rest.union(without(crowd, gone).alias("a").join(crowd.alias("b"), at_key).select("a.p", F.col("b.p").alias("earlier")))
+    gone = gone.union(similar(cut(rest.distinct())))
+    # a class that is gone goes with all its lines, any other with all but its first
+    dropped = gone.withColumn("gone", F.lit(True))
+    bad = cut(several.join(dropped.withColumnRenamed("p", "first"), "first", "left").select(*same, "first", "gone"))
+    hit = table.select(*same, *_PLACE).join(_sent(bad, bad.count()), same).where(F.col("gone") | (place != F.col("first")))
+    hit = hit.select(*_PLACE).union(gone.select("p.*"))
     found = cut(hit.groupBy("k1", "k2").agg(F.collect_set("line").alias("lines")))
-    release(table, classes)
-    _forget(spark)
+    release(table, several, met, sets, crowd, pairs)
     return found
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``df`` with ``text`` cut down to its kept lines, and ``removed_lines`` (0-based places) added.
 
-    Texts that lose no line are unchanged; a null text stays null. Documents are ordered by id
-    (nulls last), then by a hash of the text; of rows that repeat an id and a text, one counts as
-    earlier and the others lose every line of MIN_TOKENS words or more. Lines with fewer words,
-    empty ones too, are always kept. Lines end at ``\\n``.
+    Texts that lose no line are unchanged; a null text stays null; an empty table gives an empty
+    one. Documents are ordered by id (nulls last), then by a hash of the text; ids that aren't
+    numbers are ordered by a hash. Of rows that repeat an id and a text, one counts as earlier and
+    the others lose every line of ``min_tokens`` words or more. Lines with fewer words, empty ones
+    too, are always kept; with ``min_tokens`` 1 every line with a word takes part. Lines end at
+    ``\\n``. A column ``removed_lines`` of ``df`` is replaced.
     """
     ids = df.groupBy(F.col(id_col).alias("i")).count().where("count > 1 or i is null").limit(1)
     repeated = not ids.isEmpty()
-    k1 = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    k1 = number(df, id_col, (1 << 63) - 1)
     k2 = F.xxhash64(F.col(text), F.col(id_col).isNull()) if repeated else F.lit(0).cast("long")
     docs = df.select(k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
-    found = similar_lines(docs, repeated)
+    found = similar_lines(docs, repeated, min_tokens)
     names = [c for c in df.columns if c != "removed_lines"]
     plain = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), k1.alias("k1"), k2.alias("k2"))
     t = f"c{names.index(text)}"
@@ -186,7 +213,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     joined = plain.join(_sent(found, size), ["k1", "k2"], "left")
     if repeated:
         joined = joined.withColumn("copy", F.row_number().over(W.partitionBy("k1", "k2").orderBy("k1")) > 1)
-        own = F.expr(f"transform(filter(transform(split({t}, '\\n', -1), (s, i) -> struct(i, s)), x -> size({_WORDS.replace('lower(s)', 'lower(x.s)')}) >= {MIN_TOKENS}), x -> x.i)")
+        own = F.expr(f"transform(filter(transform(split({t}, '\\n', -1), (s, i) -> struct(i, s)), x -> size({_hashes('x.s')}) >= {min_tokens}), x -> x.i)")
         joined = joined.withColumn("lines", F.when(F.col("copy"), own).otherwise(F.col("lines")))
     joined = joined.withColumn("lines", F.sort_array(F.coalesce("lines", F.array().cast("array<int>"))))
     kept = F.expr(f"array_join(filter(split({t}, '\\n', -1), (s, i) -> NOT array_contains(lines, i)), '\\n')")
