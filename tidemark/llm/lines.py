@@ -165,12 +165,14 @@ def similar_lines(docs: DataFrame, repeated: bool = True, min_tokens: int = MIN_
     many = cut(heavy.groupBy("p").agg(F.count("*").alias("uncounted")))
     beyond = F.greatest(F.expr(f"n - 1 - {_prefix('n')}"), F.expr(f"m - 1 - {_prefix('m')}"))
     enough = 3 * (F.col("keys") + F.coalesce("uncounted", F.lit(0)) + beyond) >= F.col("n") + F.col("m") - 3
-    likely = cut(counted.join(_sent(many, many.count()), "p", "left").where(enough).select("p", "earlier", "n", "m", "keys"))
+    n_many = many.count()
+    likely = cut(counted.join(_sent(many, n_many), "p", "left").where(enough).select("p", "earlier", "n", "m", "keys"))
     sets = words_of(likely.select("p").union(likely.select("earlier")).union(many.select("p")))
     half = sets.select("p", F.expr("filter(words, w -> w & 1 = 0)").alias("half"))
     both = likely.join(half, "p").join(half.toDF("earlier", "other"), "earlier")
     likely = both.where(_near("half", "other", F.col("n") + F.col("m"))).select("p", "earlier", "keys")
-    crowd = written(heavy.join(half, "p"), "crowd")
+    own = half.join(_sent(many.select("p"), n_many), "p", "left_semi")  # before anything is shuffled
+    crowd = written(heavy.join(own, "p"), "crowd")
     at_key = (F.col("a.key") == F.col("b.key")) & (F.col("a.p") > F.col("b.p")) & _possible() & _near("a.half", "b.half", n + m)
     lead = cut(crowd.groupBy("key").agg(F.min(F.struct("p", "np", "half")).alias("o")).select("key", "o.*"))
     star = crowd.alias("a").join(lead.alias("b"), at_key).groupBy("a.p", F.col("b.p").alias("earlier")).agg(F.count("*").alias("keys"))
