@@ -166,6 +166,37 @@ def test_a_word_that_thousands_of_lines_share(spark):
     assert got >= {i for i, _ in near} and len(got) <= 45
 
 
+def test_crowds_of_lines_make_few_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"common{i}" for i in range(30)]
+
+    def line(i):  # any two share 30 of 40 words; every tenth is like the one before
+        own = i - 1 if i % 10 == 9 else i
+        return " ".join(rng.sample(base, 30) + [f"own{own}x{j}" for j in range(5)])
+
+    rows = [(i, line(i)) for i in range(200)]
+    made = []
+    for name in ("written", "cut"):
+        plain = getattr(lines, name)
+        monkeypatch.setattr(lines, name, lambda df, *a, f=plain: (made.append((out := f(df, *a)).count()), out)[1])
+    got = sorted((r.doc_id, r.removed_lines) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute_lines(rows)) and sum(len(x) for _, x in got) == 20
+    assert max(made) <= 20 * len(rows)  # 15 keys a line; all pairs would be 100 a line
+
+
+def test_long_lines_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lines, "CROWD", 4)
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([36, 40, 44, 120, 250, 262, 600]))]
+        for share in (0, 0.08, 0.11, 0.13, 0.2):  # replaced words, on both sides of the threshold
+            rows.append((len(rows), " ".join(w if rng.random() >= share else f"x{rng.randrange(10**6)}" for w in base)))
+        rows.append((len(rows), " ".join(base[: len(base) * rng.choice([79, 80, 81]) // 100])))
+    got = sorted((r.doc_id, r.removed_lines) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute_lines(rows)) and 60 < sum(len(x) for _, x in got) < 240
+
+
 def test_short_lines_take_part_if_asked(spark, monkeypatch):
     rng = random.Random(7)
     rows = [(i, "\n".join(" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(0, 7))) for _ in range(4))) for i in range(40)]

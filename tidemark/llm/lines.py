@@ -5,27 +5,27 @@ an earlier line (by document id, then place) is at least 0.8 similar (Jaccard),
 that line is itself removed. The join:
 
 * Lines with equal sets are one class, known by its earliest line; all its other lines go.
-* Tokens are ordered by rarity: words are counted over the whole corpus in 32,768 hash buckets (so
-  in constant space), and a token's key is its bucket's class of frequency, then its hash, so one
-  sort of longs orders a line. Any total order is exact; this one decides how short the candidate
+* Words are ordered by length, the longest first, then by hash: long words are mostly rare ones. Any
+  total order is exact; this one needs no count over the corpus and decides how short the candidate
   lists are.
 * The keys of a line are the pairs of neighbours in that order. Of the o - 1 neighbouring pairs of
   o shared tokens, each token that only one line has breaks at most one, so lines of n and m words
   that are similar (9 o >= 4 (n + m)) share (n + m) / 3 - 1 keys or more. Hence the prefix filter:
   the first shared key is among the first (2 n - m) / 3 + 1 of the one and (2 m - n) / 3 + 1 of the
   other. A frequent token is thereby split by its neighbour, exactly.
-* Lines that share a key must pass the length filter and the positional filters (the keys, and the
-  words, that can still be shared around the common key's places). Their shared keys are counted,
-  and what lies beyond the prefixes must be able to make up the rest.
+* Lines that share a key must pass the length filter, and then that of their sketches: 64 bits, each
+  the parity of the number of words with that hash (later 128 more, of other hashes, for longer
+  lines). Every word that only one line has flips one bit of each, so similar lines differ in
+  (n + m) / 9 bits at most.
 * In a crowd of variants all pairs would be quadratic, so at keys of over ``CROWD`` classes each
-  class first meets only the key's first class. Whatever that removes needs no other partner; only
-  the others meet all earlier classes of their keys.
-* Of the lines that still have candidates, the half of the words with even hashes is compared first:
-  it may not differ by more than the whole may. The pairs that stay are verified on the whole sets
-  in integers: 9 * overlap >= 4 * (n + m), each line with the earlier one of most shared keys first,
-  and only if that one is not similar with its other candidates.
-
-Words are compared by 58 bits of XXH64, sets by 128 bits of the hashes of their words.
+  class first meets only the key's first class. Whatever that removes needs no other partner; of the
+  others those with any earlier class of like sketch at a key are looked for (a semi-join, so a row
+  each at most), and for these a semi-join on the whole sets stops at the first similar one.
+* Pairs are verified on the whole sets in integers: 9 * overlap >= 4 * (n + m), each line with the
+  earlier one of the nearest sketch first, and only if that one is not similar with its others.
+
+Words are compared by their length and 57 bits of XXH64, sets by 64 bits of
+these numbers, their sketch and their size.
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ from .common import cut, number, release, written
 MIN_TOKENS = 5
 CROWD = 32
 _BROADCAST_NUMBERS = 1_000_000
-_BUCKETS = 1 << 15
+_LONG = 255  # words of a line; the keys carry no larger number
+_WIDE = 40  # words of a line from which on it has 128 more bits of sketch
 
 
 def _spaced(text: str) -> str:
@@ -50,11 +51,11 @@ def _spaced(text: str) -> str:
     return out
 
 
-_TOKEN = "shiftrightunsigned(xxhash64({0}), 6)"
+_TOKEN = "(shiftleft(cast(63 - least(octet_length({0}), 63) as bigint), 57) | shiftrightunsigned(xxhash64({0}), 7))"
 
 
 def _hashes(line: str) -> str:
-    """SQL: the distinct words of a line, as 58-bit hashes."""
+    """SQL: the distinct words of a line, as numbers: 6 bits that fall with the length, then 57 of a hash."""
     return f"array_remove(array_distinct(transform(split({_spaced(line)}, ' '), w -> {_TOKEN.format('w')})), {_TOKEN.format(repr(''))})"
 
 
@@ -62,26 +63,16 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
 
 
-def _rarity(docs: DataFrame) -> str:
-    """SQL of a constant array: the class (binary logarithm) of the count of each bucket of words, in bits 58 on."""
-    words = docs.select(F.explode(F.split(F.expr(f"replace({_spaced('text')}, '\\n', ' ')"), " ")).alias("w"))
-    counted = words.groupBy(F.expr(f"cast(shiftrightunsigned(xxhash64(w), 6) & {_BUCKETS - 1}L as int)").alias("b")).count()
-    level = [0] * _BUCKETS
-    for b, n in counted.collect():  # _BUCKETS rows at most
-        level[b] = min(31, n.bit_length()) << 58
-    return "cast(split('" + ",".join(map(str, level)) + "', ',') as array<bigint>)"
-
-
-def _keyed(docs: DataFrame, levels: str, min_tokens: int) -> DataFrame:
-    """(k1, k2, line, c1, c2, n, keys) of every line with ``min_tokens`` words: its set, its words, the prefix of its keys."""
-    words = _lines(docs).select("k1", "k2", "line", F.expr(_hashes("s")).alias("_h")).where(F.size("_h") >= min_tokens)
-    key = f"h -> get({levels}, cast(h & {_BUCKETS - 1}L as int)) | h"
-    keyed = words.withColumn("_k", F.sort_array(F.expr(f"transform(_h, {key})"))).drop("_h")
-    keyed = keyed.withColumn("n", F.size("_k"))
-    keyed = keyed.withColumn("_p", F.expr(_prefix("n")))
+def _keyed(docs: DataFrame, min_tokens: int) -> DataFrame:
+    """(id, k1, k2, line, n, hash, sketch, wide0, wide1, keys) of every line with ``min_tokens`` words: its words, its set, the prefix of its keys (40 bits each)."""
+    # the id is no function of the row, so the filter stays behind it and the words are split once
+    words = _lines(docs).select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "line", F.expr(f"sort_array({_hashes('s')})").alias("_k"))
+    keyed = words.withColumn("n", F.size("_k")).where(F.col("n") >= min_tokens).withColumn("_p", F.expr(_prefix("n")))
     return keyed.select(
-        "k1", "k2", "line", F.xxhash64("_k").alias("c1"), F.xxhash64(F.lit(1), "_k").alias("c2"), "n",
-        F.expr("zip_with(slice(_k, 1, _p), slice(_k, 2, _p), (x, y) -> xxhash64(x, y))").alias("keys"),
+        "id", "k1", "k2", "line", "n", F.xxhash64("_k").alias("hash"),
+        F.expr("aggregate(_k, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("sketch"),
+        *(F.expr(f"IF(n <= {_WIDE}, 0L, aggregate(filter(_k, x -> x & 64 = {64 * i}), 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftright(x, 7) & 63 as int))))").alias(f"wide{i}") for i in (0, 1)),
+        F.expr("zip_with(slice(_k, 1, _p), slice(_k, 2, _p), (x, y) -> shiftrightunsigned(xxhash64(x, y), 24))").alias("keys"),
     )
 
 
@@ -95,25 +86,22 @@ def _sent(df: DataFrame, numbers: int) -> DataFrame:
     return F.broadcast(df) if numbers <= _BROADCAST_NUMBERS else df
 
 
-_WORDS = "shiftright({0}.np, 32)"
 _PLACE = ["k1", "k2", "line"]
 
 
-def _possible():
-    """Whether lines a and b, which share the key at their places (``np``: words and place), may still be similar."""
-    n, m = (F.expr(_WORDS.format(s)) for s in "ab")
-    i, j = (F.col(f"{s}.np").bitwiseAND(F.lit((1 << 32) - 1)) for s in "ab")
-    around = F.least(i, j) + F.least(n - i, m - j)
-    return (9 * F.least(n, m) >= 4 * (n + m)) & (3 * around >= n + m) & (9 * around >= 4 * (n + m))
+def _apart(a: str, b: str, *sketches: str):
+    """The bits in which the sketches of lines a and b differ."""
+    return sum((F.bit_count(F.col(a + s).bitwiseXOR(F.col(b + s))) for s in sketches), F.lit(0))
 
 
-def _near(a: str, b: str, words):
-    """Whether two lines of ``words`` words together may be similar, by the half of their words with even hashes.
+def _alike(a: str, b: str, n, m):
+    """Whether lines a and b of n and m words, which are all known, may be similar by these and by their sketches."""
+    wide = (F.least(n, m) <= _WIDE) | (9 * _apart(a, b, "wide0", "wide1") <= n + m)
+    return (9 * F.least(n, m) >= 4 * (n + m)) & (9 * _apart(a, b, "sketch") <= n + m) & wide
 
-    Similar ones differ in at most a ninth of their words, so no more of this half may differ.
-    """
-    apart = F.size(a) + F.size(b) - 2 * F.size(F.array_intersect(a, b))
-    return 9 * apart <= words
+
+def _similar(words: str, others: str):
+    return 9 * F.size(F.array_intersect(words, others)) >= 4 * (F.size(words) + F.size(others))
 
 
 def similar_lines(docs: DataFrame, repeated: bool = True, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -121,17 +109,38 @@ def similar_lines(docs: DataFrame, repeated: bool = True, min_tokens: int = MIN_
 
     ``repeated``: whether a key may occur twice (with one text).
     """
-    spark = docs.sparkSession
-    table = written(_keyed(docs, _rarity(docs), min_tokens), "lines")
-    place, same = F.struct(*_PLACE), ["c1", "c2"]
+    table = written(_keyed(docs, min_tokens), "lines")
+    place, same = F.struct(*_PLACE), ["hash", "sketch", "n"]
     several = table.groupBy(*same).agg(F.min(place).alias("first"), F.count("*").alias("members")).where("members > 1")
     several = written(several.select(*same, "first"), "classes")
     copies = _sent(several, several.count())
     once = table.join(copies, same, "left").where(F.col("first").isNull() | (F.col("first") == place))
-    posts = once.select(*_PLACE, F.col("n").cast("long").alias("n"), F.posexplode("keys").alias("pos", "key"))
-    posts = posts.select("key", *_PLACE, F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
-    posts = posts.where("key is not null")  # always; joins would ask for it, and then the same exchange served them only
-    shared = posts.withColumn("size", F.count("*").over(W.partitionBy("key"))).where("size > 1").select("key", place.alias("p"), "np", "size")
+    # a key, the line's sketch, and in one number its id and its words; the rows before it at its key, if these are few
+    own = F.shiftleft("id", 8).bitwiseOR(F.least("n", F.lit(_LONG)).cast("long")).alias("own")
+    at_key = W.partitionBy("key")
+    posts = once.select(own, "sketch", F.explode("keys").alias("key")).withColumn("size", F.count("*").over(at_key)).where("size > 1")
+    before = F.collect_list(F.struct("own", "sketch")).over(at_key.orderBy("own").rowsBetween(-max(1, CROWD - 1), -1))
+    nothing = F.array(F.struct(F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("sketch")))
+    posts = posts.withColumn("before", before).withColumn("o", F.explode(F.when(F.col("size") <= CROWD, F.col("before")).otherwise(nothing)))
+    n, m = (F.col(c).bitwiseAND(F.lit(_LONG)) for c in ("own", "o.own"))
+    apart = _apart("", "o.", "sketch")
+    alike = (F.greatest(n, m) == _LONG) | (9 * F.least(n, m) >= 4 * (n + m)) & (9 * apart <= n + m)
+    crowded = F.col("size") > CROWD
+    met = posts.where(crowded | alike).select(F.when(crowded, F.col("key")).alias("key"), F.shiftright("own", 8).alias("id"), F.shiftright("o.own", 8).alias("other"))
+    met = written(met, "met")
+    sketches = ["n", "sketch", "wide0", "wide1"]
+    rows = written(table.select("id", "hash", *sketches, *_PLACE), "rows")
+    release(table)  # its keys are most of the disk
+    mine = rows.select("id", place.alias("p"), *sketches)
+    n, m = F.col("a.n"), F.col("b.n")
+    met_pairs = met.where("key is null").select("id", "other").distinct().join(mine.alias("a"), "id")
+    likely = met_pairs.join(mine.withColumnRenamed("id", "other").alias("b"), "other").where(_alike("a.", "b.", n, m)).where("a.p <> b.p")
+    likely = likely.select(F.greatest("a.p", "b.p").alias("p"), F.least("a.p", "b.p").alias("earlier"), _apart("a.", "b.", "sketch").alias("apart"))
+    crowd = written(met.where("key is not null").select("id", "key").join(mine, "id").select("key", "p", *sketches), "crowd")
+    lead = cut(crowd.groupBy("key").agg(F.min(F.struct("p", *sketches)).alias("o")).select("key", "o.*"))
+    behind = (F.col("a.key") == F.col("b.key")) & (F.col("a.p") > F.col("b.p")) & _alike("a.", "b.", n, m)
+    star = crowd.alias("a").join(lead.alias("b"), behind).select("a.p", F.col("b.p").alias("earlier"), _apart("a.", "b.", "sketch").alias("apart"))
+    pairs = written(likely.union(star.distinct()), "pairs")
 
     def words_of(used: DataFrame) -> DataFrame:
         """(p, words) of the lines ``used``, and of some others: those whose hash has its bit in a bitmap of 2^26 bits.
@@ -141,54 +150,39 @@ def similar_lines(docs: DataFrame, repeated: bool = True, min_tokens: int = MIN_
         slot = F.xxhash64(*_PLACE)
         word, bit = F.shiftrightunsigned(slot, 44).alias("word"), F.expr(f"shiftleft(1L, cast(xxhash64({', '.join(_PLACE)}) & 63 as int))")
         bitmap = cut(used.select("p.*").select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))
-        own = docs.dropDuplicates(["k1", "k2"]) if repeated else docs
-        rows = _lines(own).withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+        texts = docs.dropDuplicates(["k1", "k2"]) if repeated else docs
+        rows = _lines(texts).withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0)
         return written(rows.select(place.alias("p"), F.expr(_hashes("s")).alias("words")), "sets")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The lines p of pairs (p, earlier) that are similar, by their whole sets."""
-        used = cut(pairs.select("p").union(pairs.select("earlier")).distinct())
-        own = cut(sets.join(_sent(used, used.count()), "p", "left_semi"))
-        both = pairs.join(own, "p").join(own.toDF("earlier", "others"), "earlier")
-        return cut(both.where(9 * F.size(F.array_intersect("words", "others")) >= 4 * (F.size("words") + F.size("others"))).select("p").distinct())
+        both = pairs.join(sets, "p").join(sets.toDF("earlier", "others"), "earlier")
+        return cut(both.where(_similar("words", "others")).select("p").distinct())
 
     def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
         return rows.join(_sent(gone, gone.count()), "p", "left_anti")
 
-    light, crowded = shared.where(F.col("size") <= CROWD), shared.where(F.col("size") > CROWD)
-    n, m = (F.expr(_WORDS.format(s)).cast("int") for s in "ab")
-    met = light.alias("a").join(light.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.p") > F.col("b.p")) & _possible())
-    counted = met.groupBy(F.col("a.p").alias("p"), F.col("b.p").alias("earlier"), n.alias("n"), m.alias("m")).agg(F.count("*").alias("keys"))
-    # one table of counted pairs and of crowded keys, so that the keys are dealt once
-    met = written(counted.unionByName(crowded.select("key", "p", "np"), allowMissingColumns=True), "met")
-    counted, heavy = met.where("key is null").select("p", "earlier", "n", "m", "keys"), met.where("key is not null").select("key", "p", "np")
-    many = cut(heavy.groupBy("p").agg(F.count("*").alias("uncounted")))
-    beyond = F.greatest(F.expr(f"n - 1 - {_prefix('n')}"), F.expr(f"m - 1 - {_prefix('m')}"))
-    enough = 3 * (F.col("keys") + F.coalesce("uncounted", F.lit(0)) + beyond) >= F.col("n") + F.col("m") - 3
-    n_many = many.count()
-    likely = cut(counted.join(_sent(many, n_many), "p", "left").where(enough).select("p", "earlier", "n", "m", "keys"))
-    sets = words_of(likely.select("p").union(likely.select("earlier")).union(many.select("p")))
-    half = sets.select("p", F.expr("filter(words, w -> w & 1 = 0)").alias("half"))
-    both = likely.join(half, "p").join(half.toDF("earlier", "other"), "earlier")
-    likely = both.where(_near("half", "other", F.col("n") + F.col("m"))).select("p", "earlier", "keys")
-    own = half.join(_sent(many.select("p"), n_many), "p", "left_semi")  # before anything is shuffled
-    crowd = written(heavy.join(own, "p"), "crowd")
-    at_key = (F.col("a.key") == F.col("b.key")) & (F.col("a.p") > F.col("b.p")) & _possible() & _near("a.half", "b.half", n + m)
-    lead = cut(crowd.groupBy("key").agg(F.min(F.struct("p", "np", "half")).alias("o")).select("key", "o.*"))
-    star = crowd.alias("a").join(lead.alias("b"), at_key).groupBy("a.p", F.col("b.p").alias("earlier")).agg(F.count("*").alias("keys"))
-    pairs = written(likely.union(star).groupBy("p", "earlier").agg(F.max("keys").alias("keys")), "pairs")
-    gone = similar(cut(pairs.groupBy("p").agg(F.max(F.struct("keys", "earlier"))["earlier"].alias("earlier"))))
-    rest = without(pairs, gone).select("p", "earlier")
-    if not many.isEmpty():
-        rest = rest.union(without(crowd, gone).alias("a").join(crowd.alias("b"), at_key).select("a.p", F.col("b.p").alias("earlier")))
-    gone = gone.union(similar(cut(rest.distinct())))
+    sets = words_of(pairs.select("p").union(pairs.select("earlier")))
+    nearest = F.min(F.struct("apart", "earlier")).alias("o")
+    gone = similar(pairs.groupBy("p").agg(nearest).select("p", "o.earlier"))
+    gone = gone.union(similar(without(pairs, gone).select("p", "earlier").distinct()))
+    live = without(crowd, gone).alias("a").join(crowd.alias("b"), behind, "left_semi")
+    live = written(live, "live")
+    more = None
+    if not live.isEmpty():
+        at = cut(live.select("key").distinct())
+        met_there = cut(crowd.join(_sent(at, at.count()), "key", "left_semi"))
+        more = words_of(met_there.select("p").distinct())
+        whole = met_there.join(more, "p").alias("b")
+        found = live.join(more, "p").alias("a").join(whole, behind & _similar("a.words", "b.words"), "left_semi")
+        gone = gone.union(cut(found.select("p").distinct())).distinct()
     # a class that is gone goes with all its lines, any other with all but its first
     dropped = gone.withColumn("gone", F.lit(True))
     bad = cut(several.join(dropped.withColumnRenamed("p", "first"), "first", "left").select(*same, "first", "gone"))
-    hit = table.select(*same, *_PLACE).join(_sent(bad, bad.count()), same).where(F.col("gone") | (place != F.col("first")))
+    hit = rows.select(*same, *_PLACE).join(_sent(bad, bad.count()), same).where(F.col("gone") | (place != F.col("first")))
     hit = hit.select(*_PLACE).union(gone.select("p.*"))
     found = cut(hit.groupBy("k1", "k2").agg(F.collect_set("line").alias("lines")))
-    release(table, several, met, sets, crowd, pairs)
+    release(several, met, rows, crowd, pairs, sets, live, *([] if more is None else [more]))
     return found
 
 
