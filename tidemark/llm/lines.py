@@ -40,7 +40,7 @@ MIN_TOKENS = 5
 CROWD = 32
 _BROADCAST_NUMBERS = 1_000_000
 _LONG = 255  # words of a line; the keys carry no larger number
-_WIDE = 40  # words of a line from which on it has 128 more bits of sketch
+_WIDE = 80  # words of a line; longer ones have 128 more bits of sketch
 
 
 def _spaced(text: str) -> str:
@@ -133,13 +133,16 @@ def similar_lines(docs: DataFrame, repeated: bool = True, min_tokens: int = MIN_
     release(table)  # its keys are most of the disk
     mine = rows.select("id", place.alias("p"), *sketches)
     n, m = F.col("a.n"), F.col("b.n")
-    met_pairs = met.where("key is null").select("id", "other").distinct().join(mine.alias("a"), "id")
-    likely = met_pairs.join(mine.withColumnRenamed("id", "other").alias("b"), "other").where(_alike("a.", "b.", n, m)).where("a.p <> b.p")
+    light = cut(met.where("key is null").select("id", "other").distinct())
+    used = cut(light.select("id").union(light.select("other")).union(met.where("key is not null").select("id")).distinct())
+    mine = cut(mine.join(_sent(used, used.count()), "id", "left_semi"))
+    likely = light.join(mine.alias("a"), "id").join(mine.withColumnRenamed("id", "other").alias("b"), "other")
+    likely = likely.where(_alike("a.", "b.", n, m)).where("a.p <> b.p")
     likely = likely.select(F.greatest("a.p", "b.p").alias("p"), F.least("a.p", "b.p").alias("earlier"), _apart("a.", "b.", "sketch").alias("apart"))
     crowd = written(met.where("key is not null").select("id", "key").join(mine, "id").select("key", "p", *sketches), "crowd")
     lead = cut(crowd.groupBy("key").agg(F.min(F.struct("p", *sketches)).alias("o")).select("key", "o.*"))
     behind = (F.col("a.key") == F.col("b.key")) & (F.col("a.p") > F.col("b.p")) & _alike("a.", "b.", n, m)
-    star = crowd.alias("a").join(lead.alias("b"), behind).select("a.p", F.col("b.p").alias("earlier"), _apart("a.", "b.", "sketch").alias("apart"))
+    star = crowd.alias("a").join(_sent(lead, lead.count()).alias("b"), behind).select("a.p", F.col("b.p").alias("earlier"), _apart("a.", "b.", "sketch").alias("apart"))
     pairs = written(likely.union(star.distinct()), "pairs")
 
     def words_of(used: DataFrame) -> DataFrame:
