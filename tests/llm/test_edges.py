@@ -184,6 +184,21 @@ def test_crowds_of_lines_make_few_rows(spark, monkeypatch):
     assert max(made) <= 20 * len(rows)  # 15 keys a line; all pairs would be 100 a line
 
 
+def test_only_lines_like_another_are_read_from_a_crowd(spark, monkeypatch):
+    base = [f"commonword{i:02d}" for i in range(20)]  # the longest words, so all keys of all prefixes are crowded
+
+    def line(i):  # every tenth has all words but one of the line before, any others half of theirs
+        own = [f"o{i - 1 if i % 10 == 9 else i}x{j}" for j in range(20)]
+        return " ".join(base + (own[1:] + [f"y{i}"] if i % 10 == 9 else own))
+
+    rows = [(i, line(i)) for i in range(200)]
+    read, plain = [], lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name, *a: (out := plain(df, name, *a), read.append(out.count()) if name == "sets" else None)[0])
+    got = sorted((r.doc_id, r.removed_lines) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute_lines(rows)) and sum(len(x) for _, x in got) == 20
+    assert len(read) == 2 and max(read) <= 50  # 20 pairs; the crowd has 200 lines
+
+
 def test_long_lines_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lines, "CROWD", 4)
     rng = random.Random(8)

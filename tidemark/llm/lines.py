@@ -111,15 +111,19 @@ def similar_lines(docs: DataFrame, repeated: bool = True, min_tokens: int = MIN_
     """
     table = written(_keyed(docs, min_tokens), "lines")
     place, same = F.struct(*_PLACE), ["hash", "sketch", "n"]
-    several = table.groupBy(*same).agg(F.min(place).alias("first"), F.count("*").alias("members")).where("members > 1")
-    several = written(several.select(*same, "first"), "classes")
+    # counted with fixed-width values, which need no sort; the places only of classes with several lines
+    several = table.groupBy(*same).agg(F.min("k1").alias("k1"), F.count("*").alias("members")).where("members > 1")
+    several = cut(several.select(*same, "k1"))
+    earliest = table.join(_sent(several, several.count()), [*same, "k1"], "left_semi").groupBy(*same).agg(F.min(place).alias("first"))
+    several = written(earliest, "classes")
     copies = _sent(several, several.count())
     once = table.join(copies, same, "left").where(F.col("first").isNull() | (F.col("first") == place))
     # a key, the line's sketch, and in one number its id and its words; the rows before it at its key, if these are few
     own = F.shiftleft("id", 8).bitwiseOR(F.least("n", F.lit(_LONG)).cast("long")).alias("own")
     at_key = W.partitionBy("key")
     posts = once.select(own, "sketch", F.explode("keys").alias("key")).withColumn("size", F.count("*").over(at_key)).where("size > 1")
-    before = F.collect_list(F.struct("own", "sketch")).over(at_key.orderBy("own").rowsBetween(-max(1, CROWD - 1), -1))
+    few = F.when(F.col("size") <= CROWD, F.struct("own", "sketch"))  # a crowd's lists stay empty
+    before = F.collect_list(few).over(at_key.orderBy("own").rowsBetween(W.unboundedPreceding, -1))
     nothing = F.array(F.struct(F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("sketch")))
     posts = posts.withColumn("before", before).withColumn("o", F.explode(F.when(F.col("size") <= CROWD, F.col("before")).otherwise(nothing)))
     n, m = (F.col(c).bitwiseAND(F.lit(_LONG)) for c in ("own", "o.own"))
@@ -141,7 +145,7 @@ def similar_lines(docs: DataFrame, repeated: bool = True, min_tokens: int = MIN_
     likely = likely.select(F.greatest("a.p", "b.p").alias("p"), F.least("a.p", "b.p").alias("earlier"), _apart("a.", "b.", "sketch").alias("apart"))
     crowd = written(met.where("key is not null").select("id", "key").join(mine, "id").select("key", "p", *sketches), "crowd")
     lead = cut(crowd.groupBy("key").agg(F.min(F.struct("p", *sketches)).alias("o")).select("key", "o.*"))
-    behind = (F.col("a.key") == F.col("b.key")) & (F.col("a.p") > F.col("b.p")) & _alike("a.", "b.", n, m)
+    behind = (F.col("a.key") == F.col("b.key")) & _alike("a.", "b.", n, m) & (F.col("a.p") > F.col("b.p"))
     star = crowd.alias("a").join(_sent(lead, lead.count()).alias("b"), behind).select("a.p", F.col("b.p").alias("earlier"), _apart("a.", "b.", "sketch").alias("apart"))
     pairs = written(likely.union(star.distinct()), "pairs")
 
@@ -152,12 +156,15 @@ def similar_lines(docs: DataFrame, repeated: bool = True, min_tokens: int = MIN_
         """
         slot = F.xxhash64(*_PLACE)
         word, bit = F.shiftrightunsigned(slot, 44).alias("word"), F.expr(f"shiftleft(1L, cast(xxhash64({', '.join(_PLACE)}) & 63 as int))")
-        bitmap = cut(used.select("p.*").select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))
-        texts = docs.dropDuplicates(["k1", "k2"]) if repeated else docs
+        used = cut(used.select("p.*"))
+        bitmap = cut(used.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))
+        at = cut(used.select("k1", "k2").distinct())
+        texts = docs.join(F.broadcast(at), ["k1", "k2"], "left_semi") if at.count() <= _BROADCAST_NUMBERS else docs
+        texts = texts.dropDuplicates(["k1", "k2"]) if repeated else texts
         rows = _lines(texts).withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0)
         return written(rows.select(place.alias("p"), F.expr(_hashes("s")).alias("words")), "sets")
 
-    def similar(pairs: DataFrame) -> DataFrame:
+    def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The lines p of pairs (p, earlier) that are similar, by their whole sets."""
         both = pairs.join(sets, "p").join(sets.toDF("earlier", "others"), "earlier")
         return cut(both.where(_similar("words", "others")).select("p").distinct())
@@ -167,16 +174,19 @@ def similar_lines(docs: DataFrame, repeated: bool = True, min_tokens: int = MIN_
 
     sets = words_of(pairs.select("p").union(pairs.select("earlier")))
     nearest = F.min(F.struct("apart", "earlier")).alias("o")
-    gone = similar(pairs.groupBy("p").agg(nearest).select("p", "o.earlier"))
-    gone = gone.union(similar(without(pairs, gone).select("p", "earlier").distinct()))
+    gone = similar(pairs.groupBy("p").agg(nearest).select("p", "o.earlier"), sets)
+    rest = cut(without(pairs, gone).select("p", "earlier").distinct())
+    left = cut(rest.select("p").union(rest.select("earlier")).distinct())
+    few = sets.join(F.broadcast(left), "p", "left_semi") if left.count() <= _BROADCAST_NUMBERS else sets
+    gone = gone.union(similar(rest, few))
     live = without(crowd, gone).alias("a").join(crowd.alias("b"), behind, "left_semi")
     live = written(live, "live")
     more = None
     if not live.isEmpty():
-        at = cut(live.select("key").distinct())
-        met_there = cut(crowd.join(_sent(at, at.count()), "key", "left_semi"))
-        more = words_of(met_there.select("p").distinct())
-        whole = met_there.join(more, "p").alias("b")
+        # of a crowd only the lines that some live one is like, a row each
+        earlier = written(crowd.alias("b").join(_sent(live, live.count()).alias("a"), behind, "left_semi"), "earlier")
+        more = words_of(live.select("p").union(earlier.select("p")).distinct())
+        whole = earlier.join(more, "p").alias("b")
         found = live.join(more, "p").alias("a").join(whole, behind & _similar("a.words", "b.words"), "left_semi")
         gone = gone.union(cut(found.select("p").distinct())).distinct()
     # a class that is gone goes with all its lines, any other with all but its first
@@ -185,7 +195,7 @@ def similar_lines(docs: DataFrame, repeated: bool = True, min_tokens: int = MIN_
     hit = rows.select(*same, *_PLACE).join(_sent(bad, bad.count()), same).where(F.col("gone") | (place != F.col("first")))
     hit = hit.select(*_PLACE).union(gone.select("p.*"))
     found = cut(hit.groupBy("k1", "k2").agg(F.collect_set("line").alias("lines")))
-    release(several, met, rows, crowd, pairs, sets, live, *([] if more is None else [more]))
+    release(several, met, rows, crowd, pairs, sets, live, *([] if more is None else [more, earlier]))
     return found
 
 
