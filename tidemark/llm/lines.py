@@ -135,15 +135,19 @@ def similar_lines(docs: DataFrame, repeated: bool = True, min_tokens: int = MIN_
     sketches = ["n", "sketch", "wide0", "wide1"]
     rows = written(table.select("id", "hash", *sketches, *_PLACE), "rows")
     release(table)  # its keys are most of the disk
-    mine = rows.select("id", place.alias("p"), *sketches)
+    of_lines = rows.select("id", place.alias("p"), *sketches)
     n, m = F.col("a.n"), F.col("b.n")
     light = cut(met.where("key is null").select("id", "other").distinct())
-    used = cut(light.select("id").union(light.select("other")).union(met.where("key is not null").select("id")).distinct())
-    mine = cut(mine.join(_sent(used, used.count()), "id", "left_semi"))
+    crowded = cut(met.where("key is not null").select("id", "key"))
+    posted = crowded.count()
+    used = light.select("id").union(light.select("other"))
+    used = cut((used if posted <= _BROADCAST_NUMBERS else used.union(crowded.select("id"))).distinct())
+    mine = cut(of_lines.join(_sent(used, used.count()), "id", "left_semi"))
     likely = light.join(mine.alias("a"), "id").join(mine.withColumnRenamed("id", "other").alias("b"), "other")
     likely = likely.where(_alike("a.", "b.", n, m)).where("a.p <> b.p")
     likely = likely.select(F.greatest("a.p", "b.p").alias("p"), F.least("a.p", "b.p").alias("earlier"), _apart("a.", "b.", "sketch").alias("apart"))
-    crowd = written(met.where("key is not null").select("id", "key").join(mine, "id").select("key", "p", *sketches), "crowd")
+    crowd = of_lines if posted <= _BROADCAST_NUMBERS else mine
+    crowd = written(crowd.join(_sent(crowded, posted), "id").select("key", "p", *sketches), "crowd")
     lead = cut(crowd.groupBy("key").agg(F.min(F.struct("p", *sketches)).alias("o")).select("key", "o.*"))
     behind = (F.col("a.key") == F.col("b.key")) & _alike("a.", "b.", n, m) & (F.col("a.p") > F.col("b.p"))
     star = crowd.alias("a").join(_sent(lead, lead.count()).alias("b"), behind).select("a.p", F.col("b.p").alias("earlier"), _apart("a.", "b.", "sketch").alias("apart"))
@@ -164,9 +168,13 @@ def similar_lines(docs: DataFrame, repeated: bool = True, min_tokens: int = MIN_
         rows = _lines(texts).withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0)
         return written(rows.select(place.alias("p"), F.expr(_hashes("s")).alias("words")), "sets")
 
-    def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The lines p of pairs (p, earlier) that are similar, by their whole sets."""
-        both = pairs.join(sets, "p").join(sets.toDF("earlier", "others"), "earlier")
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The lines p of pairs (p, earlier) that are similar, by their whole sets; only sets that a pair needs are shuffled, if pairs are few."""
+        pairs, others = cut(pairs), sets.toDF("earlier", "others")
+        number = pairs.count()
+        if number <= _BROADCAST_NUMBERS:
+            others = others.join(F.broadcast(pairs.select("earlier").distinct()), "earlier", "left_semi")
+        both = sets.join(_sent(pairs, number), "p").join(others, "earlier")
         return cut(both.where(_similar("words", "others")).select("p").distinct())
 
     def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -174,13 +182,10 @@ def similar_lines(docs: DataFrame, repeated: bool = True, min_tokens: int = MIN_
 
     sets = words_of(pairs.select("p").union(pairs.select("earlier")))
     nearest = F.min(F.struct("apart", "earlier")).alias("o")
-    gone = similar(pairs.groupBy("p").agg(nearest).select("p", "o.earlier"), sets)
-    rest = cut(without(pairs, gone).select("p", "earlier").distinct())
-    left = cut(rest.select("p").union(rest.select("earlier")).distinct())
-    few = sets.join(F.broadcast(left), "p", "left_semi") if left.count() <= _BROADCAST_NUMBERS else sets
-    gone = gone.union(similar(rest, few))
-    live = without(crowd, gone).alias("a").join(crowd.alias("b"), behind, "left_semi")
-    live = written(live, "live")
+    gone = similar(pairs.groupBy("p").agg(nearest).select("p", "o.earlier"))
+    gone = gone.union(similar(without(pairs, gone).select("p", "earlier").distinct()))
+    live = crowd.alias("a").join(crowd.alias("b"), behind, "left_semi")  # both sides by one shuffle
+    live = written(without(live, gone), "live")
     more = None
     if not live.isEmpty():
         # of a crowd only the lines that some live one is like, a row each
